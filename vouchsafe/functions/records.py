@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@dataclass(frozen=True)
 class Field:
-    """What the operators ask about one field of a record."""
+    """What the operators ask about one field of a record. Expressions are built when asked for."""
 
     present: Column  # there and not null
     is_empty_text: Column  # the string ""
@@ -23,12 +22,11 @@ class Field:
     text: Column  # the value if a string, else null
     as_string: Column  # any value rendered as a string
 
-    @property
+    @cached_property
     def filled(self) -> Column:
         return self.present & ~self.is_empty_text & ~self.is_empty_list
 
 
-
 # Runtime type names of the record model, by Spark type.
 _TYPE_NAMES = (
     (T.StringType, "str"),
@@ -50,31 +48,51 @@ def type_name_of(data_type: T.DataType) -> str:
     return data_type.typeName()
 
 
-def typed_field(schema: T.StructType, name: str) -> Field:
+class TypedField(Field):
     """A column of a typed table. Its type is known when the plan is made."""
-    if name not in schema.names:
-        nothing = F.lit(None)
-        return Field(
-            F.lit(False), F.lit(False), F.lit(False), F.lit(None).cast("string"), nothing.cast("double"),
-            nothing.cast("string"), nothing.cast("string"),
-        )
-    column, data_type = F.col(f"`{name}`"), schema[name].dataType
-    kind = type_name_of(data_type)
-    if kind == "bool":
-        number = column.cast("int")
-    elif kind in ("int", "float"):
-        number = column
-    else:
-        number = F.lit(None).cast("double")
-    return Field(
-        present=column.isNotNull(),
-        is_empty_text=F.coalesce(column == "", F.lit(False)) if kind == "str" else F.lit(False),
-        is_empty_list=F.coalesce(F.size(column) == 0, F.lit(False)) if kind == "list" else F.lit(False),
-        type_name=F.when(column.isNull(), "NoneType").otherwise(F.lit(kind)),
-        number=number,
-        text=column if kind == "str" else F.lit(None).cast("string"),
-        as_string=F.to_json(column) if kind in ("list", "dict") else column.cast("string"),
-    )
+
+    def __init__(self, schema: T.StructType, name: str):
+        self.known = name in schema.names
+        self.kind = type_name_of(schema[name].dataType) if self.known else None
+        self.name = name
+
+    @cached_property
+    def value(self) -> Column:
+        return F.col(f"`{self.name}`") if self.known else F.lit(None).cast("string")
+
+    @cached_property
+    def present(self) -> Column:
+        return self.value.isNotNull() if self.known else F.lit(False)
+
+    @cached_property
+    def is_empty_text(self) -> Column:
+        return F.coalesce(self.value == "", F.lit(False)) if self.kind == "str" else F.lit(False)
+
+    @cached_property
+    def is_empty_list(self) -> Column:
+        if self.kind != "list":
+            return F.lit(False)
+        return F.coalesce(F.size(self.value) == 0, F.lit(False))
+
+    @cached_property
+    def type_name(self) -> Column:
+        if not self.known:
+            return F.lit(None).cast("string")
+        return F.when(self.value.isNull(), "NoneType").otherwise(F.lit(self.kind))
+
+    @cached_property
+    def number(self) -> Column:
+        if self.kind == "bool":
+            return self.value.cast("int")
+        return self.value if self.kind in ("int", "float") else F.lit(None).cast("double")
+
+    @cached_property
+    def text(self) -> Column:
+        return self.value if self.kind == "str" else F.lit(None).cast("string")
+
+    @cached_property
+    def as_string(self) -> Column:
+        return F.to_json(self.value) if self.kind in ("list", "dict") else self.value.cast("string")
 
 
 def variant_path(name: str) -> str:
@@ -106,29 +124,50 @@ def is_object(record: Column) -> Column:
     return F.schema_of_variant(record).startswith("OBJECT")
 
 
-def variant_field(record: Column, name: str) -> Field:
+class VariantField(Field):
     """A field of a JSON record. Absent and null are told apart by ``type_name``."""
-    path = variant_path(name)
-    value = F.try_variant_get(record, path, "variant")
-    kind = variant_type_name(value)
-    text = F.try_variant_get(record, path, "string")
-    present = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
-    return Field(
-        present=present,
-        is_empty_text=F.coalesce((kind == "str") & (text == ""), F.lit(False)),
-        is_empty_list=F.coalesce(
-            (kind == "list")
-            & (F.size(F.try_variant_get(record, path, "array<variant>")) == 0),
-            F.lit(False),
-        ),
-        type_name=kind,
+
+    def __init__(self, record: Column, name: str):
+        self.record, self.path = record, variant_path(name)
+
+    def get(self, as_type: str) -> Column:
+        return F.try_variant_get(self.record, self.path, as_type)
+
+    @cached_property
+    def value(self) -> Column:
+        return self.get("variant")
+
+    @cached_property
+    def present(self) -> Column:
+        return self.value.isNotNull() & ~F.coalesce(F.is_variant_null(self.value), F.lit(False))
+
+    @cached_property
+    def type_name(self) -> Column:
+        return variant_type_name(self.value)
+
+    @cached_property
+    def is_empty_text(self) -> Column:
+        return F.coalesce((self.type_name == "str") & (self.get("string") == ""), F.lit(False))
+
+    @cached_property
+    def is_empty_list(self) -> Column:
+        empty = F.size(self.get("array<variant>")) == 0
+        return F.coalesce((self.type_name == "list") & empty, F.lit(False))
+
+    @cached_property
+    def number(self) -> Column:
         # The cast alone would accept a number written as a string.
-        number=F.when(kind.isin("int", "float"), F.try_variant_get(record, path, "double")).when(
-            kind == "bool", F.try_variant_get(record, path, "boolean").cast("double")
-        ),
-        text=F.when(kind == "str", text),
-        as_string=F.when(present, text),
-    )
+        return F.when(self.type_name.isin("int", "float"), self.get("double")).when(
+            self.type_name == "bool", self.get("boolean").cast("double")
+        )
+
+    @cached_property
+    def text(self) -> Column:
+        return F.when(self.type_name == "str", self.get("string"))
+
+    @cached_property
+    def as_string(self) -> Column:
+        return F.when(self.present, self.get("string"))
 
 
 def strict_json(text: Column) -> Column:

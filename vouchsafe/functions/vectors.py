@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +13,13 @@ from pyspark.sql import types as T
 
 BLAKE2B, SHA256 = "blake2b", "sha256"
 _ROWS_PER_BLOCK = 1024
+_KNOWN_TOKENS = 1 << 17
 
 
-@lru_cache(maxsize=1 << 17)
 def token_slot(token: str, provider: str) -> tuple[int, int]:
     """The 32-bit slot number and the sign of a token."""
+    if not token:
+        return 0, 0
     if provider == BLAKE2B:
         digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
         slot = int.from_bytes(digest[:4], "little")
@@ -28,13 +29,23 @@ def token_slot(token: str, provider: str) -> tuple[int, int]:
     return slot, 1 - 2 * (digest[4] & 1)
 
 
-def _hash_block(lowered: pa.Array, dim: int, provider: str) -> np.ndarray:
-    """Unit vectors of a block of lower-cased texts; texts without tokens stay zero."""
+def _hash_block(lowered: pa.Array, dim: int, provider: str, known: dict) -> np.ndarray:
+    """Unit vectors of a block of lower-cased texts; texts without tokens stay zero.
+
+    ``known`` keeps slots between blocks, as most tokens come again.
+    """
     split = pc.split_pattern_regex(pc.fill_null(lowered, ""), "[^a-z0-9]+")
     words = split.flatten()
     row_of = np.repeat(np.arange(len(split)), np.asarray(pc.list_value_length(split)))
     coded = pc.dictionary_encode(words)
-    slots = [token_slot(w, provider) if w else (0, 0) for w in coded.dictionary.to_pylist()]
+    if len(known) > _KNOWN_TOKENS:
+        known.clear()
+    slots = []
+    for word in coded.dictionary.to_pylist():
+        slot = known.get(word)
+        if slot is None:
+            slot = known[word] = token_slot(word, provider)
+        slots.append(slot)
     table = np.array(slots, dtype=np.int64).reshape(-1, 2)
     codes = np.asarray(coded.indices)
     index, sign = table[codes, 0] % dim, table[codes, 1]
@@ -47,11 +58,12 @@ def _hash_block(lowered: pa.Array, dim: int, provider: str) -> np.ndarray:
 
 def hash_vector(text: Column, dim: int, provider: str = BLAKE2B) -> Column:
     """Dense hashed vector of a whole text, null for a null text. Needs no shuffle."""
+    known: dict = {}
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def embed(lowered: pa.Array) -> pa.Array:
         blocks = [
-            _hash_block(lowered.slice(start, _ROWS_PER_BLOCK), dim, provider).ravel()
+            _hash_block(lowered.slice(start, _ROWS_PER_BLOCK), dim, provider, known).ravel()
             for start in range(0, len(lowered), _ROWS_PER_BLOCK)
         ]
         flat = np.concatenate(blocks) if blocks else np.empty(0)
@@ -64,7 +76,7 @@ def hash_vector(text: Column, dim: int, provider: str = BLAKE2B) -> Column:
 
 def vector_of_text(text: str, dim: int, provider: str = BLAKE2B) -> list[float]:
     """The vector of one search query, made on the driver."""
-    return _hash_block(pa.array([text.lower()]), dim, provider)[0].tolist()
+    return _hash_block(pa.array([text.lower()]), dim, provider, {})[0].tolist()
 
 
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:

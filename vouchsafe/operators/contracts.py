@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouchsafe.functions.records import Field, is_object, typed_field, variant_field
+from vouchsafe.functions.records import Field, TypedField, VariantField, is_object
 
 REASONS = "reasons"
 RECORD = "rec"
@@ -71,8 +72,9 @@ FieldReader = Callable[[str], Field]
 def field_reader(df: DataFrame, record: str | None = None) -> FieldReader:
     """Fields come from a VARIANT column if one is named, else from the table's own columns."""
     if record is not None:
-        return lambda name: variant_field(F.col(record), name)
-    return lambda name: typed_field(df.schema, name)
+        return cache(lambda name: VariantField(F.col(record), name))
+    schema = df.schema
+    return cache(lambda name: TypedField(schema, name))
 
 
 def required_reason(name: str, value: Field) -> Column:

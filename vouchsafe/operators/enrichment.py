@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vouchsafe.functions import text as X
 from vouchsafe.functions.hashing import SHORT_HASH, content_digest, variant_content_digest
-from vouchsafe.functions.records import typed_field
+from vouchsafe.functions.records import TypedField
 from vouchsafe.operators.contracts import field_reader
 
 DEDUP_KEY = "_dedup_key"
@@ -141,10 +141,11 @@ def fill_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     Columns that no row fills are left out, and so is everything for an empty table.
     """
-    names = columns or [name for name in df.columns if not name.startswith("_")]
+    schema = df.schema
+    names = columns or [name for name in schema.names if not name.startswith("_")]
     total = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(typed_field(df.schema, n).filled).alias(f"f{i}") for i, n in enumerate(names)],
+        *[F.count_if(TypedField(schema, n).filled).alias(f"f{i}") for i, n in enumerate(names)],
     )
     pairs = F.array(
         *[

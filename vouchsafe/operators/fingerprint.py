@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe.functions.hashing import short_sha256
-from vouchsafe.functions.records import is_object, json_literal, typed_field, variant_type_name
+from vouchsafe.functions.records import TypedField, is_object, json_literal, variant_type_name
 
 # Fixed value: how many leading records the fingerprint looks at, by its definition.
 FINGERPRINT_RECORDS = 200
@@ -66,10 +66,10 @@ def typed_schema_fingerprint(
     Every row of a table has every column, so the first row in input order decides.
     """
     names = [name for name in df.columns if not name.startswith("_")]
-    first = df.orderBy(*order).limit(1)
+    first, schema = df.orderBy(*order).limit(1), df.schema
     pairs = F.array(
         *[
-            F.struct(F.lit(n).alias("key"), typed_field(df.schema, n).type_name.alias("type"))
+            F.struct(F.lit(n).alias("key"), TypedField(schema, n).type_name.alias("type"))
             for n in names
         ]
     )

@@ -26,7 +26,7 @@ from vouchsafe.operators import fingerprint as P
 from vouchsafe.operators import gates as G
 from vouchsafe.operators import ledger as L
 from vouchsafe.operators import search as S
-from vouchsafe.session import prepare
+from vouchsafe.session import prepare, small_frame
 from vouchsafe.settings import Settings
 from vouchsafe.sources import json_records as J
 from vouchsafe.sources.manifest import latest_per_group, list_objects
@@ -53,14 +53,18 @@ class Run:
     passed: bool = False
     serving: str | None = None
     stages: list[tuple[str, str, dict[str, Any]]] = field(default_factory=list)
+    reports: dict[str, dict[str, Any]] = field(default_factory=dict)
 
     def note(self, stage: str, status: str, **metrics: Any) -> None:
         self.stages.append((stage, status, metrics))
 
     def trace(self, spark: SparkSession) -> DataFrame:
         """One row per stage: number, stage, status, metrics as JSON."""
-        rows = [(i, s, status, as_json(m)) for i, (s, status, m) in enumerate(self.stages)]
-        return spark.createDataFrame(rows, "ord INT, stage STRING, status STRING, metrics STRING")
+        rows = [
+            {"ord": i, "stage": s, "status": status, "metrics": as_json(m)}
+            for i, (s, status, m) in enumerate(self.stages)
+        ]
+        return small_frame(spark, rows, "ord INT, stage STRING, status STRING, metrics STRING")
 
 
 class GovernancePlane:
@@ -136,6 +140,7 @@ class GovernancePlane:
         )
         checks, verdict = self._judge(run, batch, summary, drift, embedded)
         self._decide(run, batch, verdict, embedded)
+        self.zones.write_reports(version_id, run.reports)
         return run
 
     def _register(self, run: Run, source_uri: str, now: datetime) -> None:
@@ -151,17 +156,10 @@ class GovernancePlane:
             if known.isEmpty():
                 self.zones.append("dataset_versions", [row])
 
-    def _status(self, run: Run, status: str, count: int | None = None, schema_hash=None) -> None:
+    def _status(self, version_id: str, *changes: dict[str, Any]) -> None:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        row = {
-            "version_id": run.version_id, "status": status, "record_count": count,
-            "schema_hash": schema_hash, "at": now,
-        }
-        self.zones.append("transitions", [row], "seq")
-
-    def _report(self, run: Run, name: str, metrics: dict[str, Any]) -> None:
-        frame = self.spark.createDataFrame([(as_json(metrics),)], "report STRING")
-        self.zones.write_artifact(run.version_id, name, frame)
+        rows = [{"version_id": version_id, "at": now, **change} for change in changes]
+        self.zones.append("transitions", rows, "seq")
 
     def _validate(self, run: Run, batch: Batch, validated: DataFrame):
         summary = C.validation_summary(validated).first()
@@ -176,10 +174,9 @@ class GovernancePlane:
         versions = self.versions().where(F.col("dataset") == run.dataset)
         baseline = P.last_promoted_hash(versions.where(F.col("version_id") != run.version_id)).first()
         previous = baseline["schema_hash"] if baseline else None
+        hashes = [{"previous_hash": previous, "current_hash": current}]
         drift = P.detect_drift(
-            self.spark.createDataFrame(
-                [(previous, current)], "previous_hash STRING, current_hash STRING"
-            )
+            small_frame(self.spark, hashes, "previous_hash STRING, current_hash STRING")
         ).first().asDict()
         read = C.field_reader(validated, batch.record)
         if summary["quarantined"]:
@@ -201,8 +198,9 @@ class GovernancePlane:
             "drift": drift,
             "quarantine_samples": [{"reason": s["reason"], "id": s["id"]} for s in samples],
         }
-        self._status(run, "validated", summary["valid"], current)
-        self._report(run, "validation_report", metrics)
+        change = {"status": "validated", "record_count": summary["valid"], "schema_hash": current}
+        self._status(run.version_id, change)
+        run.reports["validation_report"] = metrics
         run.note("validate", "done", **metrics)
         return summary, drift
 
@@ -231,22 +229,23 @@ class GovernancePlane:
             *G.measures(read, list(contract.required), batch.key), M.coverage().alias("coverage")
         )
         measured_row = measured.first()
-        one = self.spark.createDataFrame([measured_row], measured.schema)
+        one = small_frame(
+            self.spark, [measured_row.asDict()],
+            ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in measured.schema),
+        )
         rows, coverage = measured_row["rows"], measured_row["coverage"]
         removed = summary["valid"] - rows
         enrichment = {
             "input_records": summary["valid"], "output_records": rows,
             "duplicates_removed": removed,
         }
-        self._status(run, "enriched", rows)
-        self._report(run, "enrichment_report", enrichment)
+        run.reports["enrichment_report"] = enrichment
         run.note("enrich", "done", **enrichment)
         embedding = {
             "model": self.embedder.model, "dim": self.embedder.dim, "total": rows,
             "embedded": round(coverage * rows), "coverage": coverage,
         }
-        self._status(run, "embedded")
-        self._report(run, "embedding_report", embedding)
+        run.reports["embedding_report"] = embedding
         run.note("embed", "done", **embedding)
 
         inputs = G.GateInputs(
@@ -265,10 +264,13 @@ class GovernancePlane:
                     for row in checks.drop("ord").collect()
                 ],
             )
-        self._status(run, "gated")
+        self._status(
+            run.version_id,
+            {"status": "enriched", "record_count": rows}, {"status": "embedded"}, {"status": "gated"},
+        )
         run.passed = verdict["passed"]
         shown = [c.asDict() for c in verdict["checks"]]
-        self._report(run, "quality_report", {"passed": run.passed, "checks": shown})
+        run.reports["quality_report"] = {"passed": run.passed, "checks": shown}
         run.note("gate", "done" if run.passed else "failed", passed=run.passed, checks=shown)
         return checks, verdict
 
@@ -298,13 +300,13 @@ class GovernancePlane:
                     dataset, version_id, run.decision, previous,
                     version_id if run.passed else None, reason, verdict["gate_summary"],
                 )
-        self._status(run, run.decision)
+        self._status(version_id, {"status": run.decision})
         run.serving = self.serving(dataset)
         metrics = {
             "decision": run.decision, "now_serving": run.serving, "previous": previous,
             "failed_gates": verdict["failed_checks"],
         }
-        self._report(run, "promotion_decision", metrics)
+        run.reports["promotion_decision"] = metrics
         run.note("promote", "done" if run.passed else "skipped", **metrics)
         if run.passed:
             self.apply_retention(dataset, version_id, previous)
@@ -324,9 +326,8 @@ class GovernancePlane:
 
     def apply_retention(self, dataset: str, current: str, previous: str | None) -> list[str]:
         """Drop collections beyond the retention window and name them."""
-        keep = self.spark.createDataFrame(
-            [(dataset, current), (dataset, previous)], "dataset STRING, version_id STRING"
-        )
+        kept = [{"dataset": dataset, "version_id": v} for v in (current, previous)]
+        keep = small_frame(self.spark, kept, "dataset STRING, version_id STRING")
         drops = L.retention_drops(
             self.zones.live_collections(dataset), keep, self.settings.retain_versions
         )
@@ -348,7 +349,7 @@ class GovernancePlane:
                 return {"decision": model.ROLLBACK_FAILED, "reason": L.NO_LIVE_PREVIOUS}
             left, target = found["current_version"], found["target_version"]
             self._append_decision(dataset, target, model.ROLLED_BACK, left, target, reason, "{}")
-        self._status(Run(left, dataset, "manual"), model.ROLLED_BACK)
+        self._status(left, {"status": model.ROLLED_BACK})
         return {"decision": model.ROLLED_BACK, "now_serving": target, "previous": left}
 
     def search(self, dataset: str, text: str, limit: int = 5) -> DataFrame | None:

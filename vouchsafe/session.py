@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -71,3 +76,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its history."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_frame(spark: SparkSession, rows: Iterable[dict[str, Any]], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation, which needs no job to read."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    return spark.createDataFrame(pa.Table.from_pylist(list(rows), arrow), schema)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchsafe import model
+from vouchsafe.session import small_frame
 
 
 @dataclass
@@ -89,25 +90,35 @@ class Zones:
         """Collections that exist, as ``(dataset, version_id)``: a listing of folders."""
         datasets = [f"dataset={dataset}"] if dataset else self.folders(self.path("collections"))
         rows = [
-            (d.split("=", 1)[1], v.split("=", 1)[1])
+            {"dataset": d.split("=", 1)[1], "version_id": v.split("=", 1)[1]}
             for d in datasets
             for v in self.folders(self.path("collections", d))
         ]
-        return self.spark.createDataFrame(rows, "dataset STRING, version_id STRING")
+        return small_frame(self.spark, rows, "dataset STRING, version_id STRING")
 
     # ------------------------------------------------------------ artifacts
 
     def write_artifact(self, version_id: str, name: str, report: DataFrame) -> None:
-        report.coalesce(1).write.mode("overwrite").json(self.path("artifacts", version_id, name))
+        report.coalesce(1).write.mode("overwrite").json(
+            self.path("artifacts", version_id, f"name={name}")
+        )
+
+    def write_reports(self, version_id: str, reports: dict[str, dict[str, Any]]) -> None:
+        """Several JSON reports in one job, each in its own folder."""
+        rows = [{"name": name, "report": as_json(report)} for name, report in reports.items()]
+        frame = small_frame(self.spark, rows, "name STRING, report STRING")
+        frame.coalesce(1).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("name").text(self.path("artifacts", version_id))
 
     def read_artifact(self, version_id: str, name: str) -> DataFrame:
-        return self.spark.read.json(self.path("artifacts", version_id, name))
+        return self.spark.read.json(self.path("artifacts", version_id, f"name={name}"))
 
     # ------------------------------------------------------------ registry tables
 
     def _read(self, path: str, schema: str) -> DataFrame:
         if not self.exists(path):
-            return self.spark.createDataFrame([], schema)
+            return small_frame(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
@@ -121,7 +132,7 @@ class Zones:
         with self.lock:
             last = self.table(name).agg(F.max(id_column)).first()[0] or 0
             numbered = [{**row, id_column: last + 1 + i} for i, row in enumerate(rows)]
-            frame = self.spark.createDataFrame(numbered, REGISTRY[name])
+            frame = small_frame(self.spark, numbered, REGISTRY[name])
             frame.coalesce(1).write.mode("append").parquet(self.path("registry", name))
 
 

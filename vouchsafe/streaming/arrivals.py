@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vouchsafe.functions.hashing import KEY_HASH
 from vouchsafe.functions.identifiers import is_identifier
 from vouchsafe.plans.lifecycle import GovernancePlane
+from vouchsafe.session import small_frame
 
 _LISTED = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -50,8 +51,10 @@ def run_on_arrival(
                 plane.zones.write_artifact(
                     version_id,
                     "refused",
-                    plane.spark.createDataFrame(
-                        [(row["path"], str(refused))], "path STRING, error STRING"
+                    small_frame(
+                        plane.spark,
+                        [{"path": row["path"], "error": str(refused)}],
+                        "path STRING, error STRING",
                     ),
                 )
 
