@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vouchsafe.operators import events as V
 from vouchsafe.operators.audit import sliding_rate, sliding_rate_stream
 from vouchsafe.streaming import idempotency, relay
+from vouchsafe.streaming.running import drain as run_out
 
 START = dt.datetime(2024, 1, 1)
 EVENT = "event_id LONG, k STRING, ts TIMESTAMP_NTZ"
@@ -99,13 +100,14 @@ def stream(spark, folder, df, files):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def drain(df, tmp_path, name, mode="append"):
+def drain(df, tmp_path, name, empty_batches=False):
     out = str(tmp_path / f"{name}-out")
-    query = (
-        df.writeStream.format("parquet").option("path", out).outputMode(mode)
-        .option("checkpointLocation", str(tmp_path / f"{name}-checkpoint")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    writer = df.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / f"{name}-checkpoint"))
+    if empty_batches:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        run_out(df.sparkSession, writer)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
@@ -124,11 +126,7 @@ def test_relay_stream_equals_its_batch_twin_and_restarts(spark, tmp_path):
     sink = relay.relay_sink(str(tmp_path / "out"), "message", "message", "message")
 
     def run():
-        query = (
-            steps.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp"))
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        run_out(spark, steps.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")))
 
     run()
     columns = ["message", "tick", "delivery", "effect"]
@@ -167,7 +165,7 @@ def test_undispatched_stream(spark, tmp_path):
         stream(spark, tmp_path / "e", events, 1),
         spark.readStream.schema(markers.schema).parquet(str(tmp_path / "m")),
     )
-    assert {r["event_id"] for r in drain(left, tmp_path, "left").collect()} == {2, 3}
+    assert {r["event_id"] for r in drain(left, tmp_path, "left", empty_batches=True).collect()} == {2, 3}
 
 
 def test_sliding_rate_stream_equals_batch(spark, tmp_path):

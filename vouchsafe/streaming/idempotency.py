@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from vouchsafe.settings import Settings
 
 MICROS = 1_000_000
-MOMENT = "_moment"
+# Spark hands rows over as named tuples, whose names cannot begin with an underscore.
+MOMENT = "moment_micros"
 
 
 class FirstWins(StatefulProcessor):
