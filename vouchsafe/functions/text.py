@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +27,8 @@ _MAY_CHANGE_UNDER_NFC = r"[^\x{0000}-\x{02FF}]"
 
 @F.arrow_udf(T.StringType())
 def _compose(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFC")
+    composed = [None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()]
+    return pa.array(composed, pa.string())
 
 
 def nfc(text: Column) -> Column:
