@@ -53,8 +53,11 @@ def embedding_report(embedded: DataFrame, embedder: Embedder) -> DataFrame:
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows ``(key, token, tf)``; ``key`` identifies a text."""
     return (
-        df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+        df.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(tokens(F.col(text))).alias("token"))
         .groupBy(key, "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -63,14 +66,16 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """The same embedding as rows ``(key, idx, weight)``, hashed with SHA-256 inside the JVM.
 
-    All tokens of a text sit in one task, so the counts are complete before the
-    shuffle and at most ``dim`` rows per text travel.
+    ``key`` identifies a text. The texts are placed by key once, which usually moves
+    less than the sums of their tokens would; counting and scaling then stay in place.
     """
     digest = F.sha2(F.col("token"), 256)
     slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     even = F.instr(F.lit("02468ace"), F.substring(digest, 10, 1)) > 0
     sums = (
-        df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+        df.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(tokens(F.col(text))).alias("token"))
         .select(key, (slot % dim).alias("idx"), F.when(even, 1).otherwise(-1).alias("sign"))
         .groupBy(key, "idx")
         .agg(F.sum("sign").alias("tf"))

@@ -120,11 +120,8 @@ class GateInputs:
     drift_report: Column | None = None
 
 
-def gate_suite(
-    measured: DataFrame, inputs: GateInputs, key: str = "id", bars: GateThresholds | None = None
-) -> DataFrame:
-    """A row per check from the single row of ``measures``."""
-    bars = bars or GateThresholds()
+def gate_checks(inputs: GateInputs, key: str, bars: GateThresholds) -> list[Column]:
+    """The checks, in order, as structs over the columns of ``measures``."""
     checks = [
         min_records_check(bars.min_records),
         completeness_check(bars.completeness),
@@ -135,7 +132,14 @@ def gate_suite(
         checks.append(coverage_check(bars.embedding_coverage, inputs.embedding_coverage))
     if inputs.drifted is not None:
         checks.append(drift_check(inputs.drifted, inputs.drift_report))
-    return measured.select(F.inline(F.array(*checks)))
+    return checks
+
+
+def gate_suite(
+    measured: DataFrame, inputs: GateInputs, key: str = "id", bars: GateThresholds | None = None
+) -> DataFrame:
+    """A row per check from the single row of ``measures``."""
+    return measured.select(F.inline(F.array(*gate_checks(inputs, key, bars or GateThresholds()))))
 
 
 def verdict(checks: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -8,13 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.session import prepare
+from vouchsafe.session import prepare, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread out for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -141,7 +146,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels, which most lack."""
     labels = table(spark, sf_dir, "labels")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return documents(spark, sf_dir).join(labels, "doc_id", "left")
 
 
 PAYLOAD_DATASETS = {"F": "finished", "O": "open", "P": "Pending orders"}
@@ -164,7 +169,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.when(F.col("o_totalprice") < 50000, ".csv").when(
         priority.isin("3-MEDIUM", "4-NOT SPECIFIED"), ".jsonl"
     ).otherwise(".json")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey"),
         _mapped("o_orderstatus", PAYLOAD_DATASETS).alias("dataset"),
         F.concat(F.lit("in/"), priority, F.lit("#"), key, suffix).alias("file_name"),
@@ -184,7 +189,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("null"))
     )
     pipeline = F.when(F.col("o_totalprice") < 50000, ', "pipeline": "bulk"').otherwise("")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey",
         F.concat(
             F.lit('{"dataset": "'), _mapped("o_orderstatus", PAYLOAD_DATASETS),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from vouchsafe.functions.text import is_blank
 from vouchsafe.operators import contracts as C
 from vouchsafe.operators import gates as G
+from vouchsafe.operators.embedding import HashingEmbedder, coverage, embed
+from vouchsafe.operators.enrichment import enrich_table
 from vouchsafe.operators.fingerprint import has_drifted, typed_schema_fingerprint
 from vouchsafe.plans import bindings as B
 from vouchsafe.plans.registry import query
@@ -189,3 +191,66 @@ def threshold_gate(spark, sf_dir):
     return G.threshold_gate(scores, thresholds, ["version_id"]).withColumn(
         "failed_checks", F.concat_ws(", ", "failed_checks")
     )
+
+
+# ---------------------------------------------------------------- a whole life
+
+_TRACE_SQL = """WITH ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
+  FROM documents WHERE length(text) >= 10),
+n AS (
+  SELECT (SELECT count(*) FROM documents) AS raw, (SELECT count(*) FROM ranked) AS valid,
+         (SELECT count(*) FROM ranked WHERE rn = 1) AS kept)
+SELECT 'ingest' AS stage, 'raw_records' AS metric, CAST(raw AS DOUBLE) AS value FROM n
+UNION ALL SELECT 'validate', 'valid', valid FROM n
+UNION ALL SELECT 'validate', 'quarantined', raw - valid FROM n
+UNION ALL SELECT 'validate', 'pass_rate', round(valid / raw, 4) FROM n
+UNION ALL SELECT 'enrich', 'output_records', kept FROM n
+UNION ALL SELECT 'enrich', 'duplicates_removed', valid - kept FROM n
+UNION ALL SELECT 'embed', 'coverage', 1.0 FROM n
+UNION ALL SELECT 'gate', 'passed', CASE WHEN valid / raw >= 0.95 THEN 1.0 ELSE 0.0 END FROM n
+UNION ALL SELECT 'promote', 'promoted', CASE WHEN valid / raw >= 0.95 THEN 1.0 ELSE 0.0 END FROM n"""
+
+
+@query(_TRACE_SQL)
+def lifecycle_trace(spark, sf_dir):
+    """The stages of a version made of all documents, as metrics; equal texts are duplicates."""
+    documents = B.documents(spark, sf_dir).withColumn("id", F.sha2("text", 256))
+    judged = C.validate(documents, CONTRACT)
+    enriched = enrich_table(
+        C.valid_records(judged), "v1", F.lit("2024-01-01").cast("timestamp"), "id", ["doc_id"]
+    )
+    embedded = embed(enriched, HashingEmbedder())
+    summary = C.validation_summary(judged)
+    metric = {name: summary.select(name).scalar() for name in summary.columns}
+    measured = embedded.agg(
+        *G.measures(C.field_reader(embedded), list(CONTRACT.required), "id"),
+        coverage().alias("coverage"),
+    ).withColumns({name: metric[name] for name in ("total", "valid", "quarantined", "pass_rate")})
+    inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), F.lit(False))
+    checks = F.array(*G.gate_checks(inputs, "id", BARS))
+    passed = F.forall(checks, lambda c: c["passed"])
+    rows = (
+        ("ingest", "raw_records", F.col("total")),
+        ("validate", "valid", F.col("valid")),
+        ("validate", "quarantined", F.col("quarantined")),
+        ("validate", "pass_rate", F.round("pass_rate", 4)),
+        ("enrich", "output_records", F.col("rows")),
+        ("enrich", "duplicates_removed", F.col("valid") - F.col("rows")),
+        ("embed", "coverage", F.col("coverage")),
+        ("gate", "passed", passed.cast("int")),
+        ("promote", "promoted", passed.cast("int")),
+    )
+    return measured.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(stage).alias("stage"), F.lit(name).alias("metric"),
+                        value.cast("double").alias("value"),
+                    )
+                    for stage, name, value in rows
+                ]
+            )
+        )
+    )

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchsafe.functions import identifiers, text as X
-from vouchsafe.functions.hashing import content_hash
+from vouchsafe.functions import hashing, identifiers
+from vouchsafe.functions import text as X
 from vouchsafe.operators import contracts as C
 from vouchsafe.operators import enrichment as E
 from vouchsafe.operators import fingerprint as P
 from vouchsafe.operators import ledger as L
 from vouchsafe.plans import bindings as B
 from vouchsafe.plans.registry import query
+from vouchsafe.session import spread
 from vouchsafe.sources import json_records as J
 from vouchsafe.sources import manifest as M
 
@@ -36,7 +37,7 @@ _REASONS_SQL = """judged AS (
 
 
 def _judged_documents(spark, sf_dir):
-    return C.validate(B.table(spark, sf_dir, "documents"), DOCUMENT_CONTRACT)
+    return C.validate(B.documents(spark, sf_dir), DOCUMENT_CONTRACT)
 
 
 def _reason_rows(df, contract, key, record=None):
@@ -330,7 +331,7 @@ _NORMAL_SQL = (
 
 @query(f"SELECT doc_id, {_NORMAL_SQL} AS text FROM documents")
 def normalize_text(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select(
+    return B.documents(spark, sf_dir).select(
         "doc_id", X.normalize(F.col("text")).alias("text")
     )
 
@@ -340,7 +341,7 @@ def normalize_text(spark, sf_dir):
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"""
 )
 def dedup_keep_first(spark, sf_dir):
-    keyed = B.table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("key"))
+    keyed = B.documents(spark, sf_dir).select("doc_id", "lang", F.sha2("text", 256).alias("key"))
     return E.keep_first(keyed, ["key"], ["doc_id"]).drop("key")
 
 
@@ -358,9 +359,9 @@ _HASH_SQL = """substr(sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars':
 
 
 @query(f"SELECT doc_id, {_HASH_SQL} AS content_hash FROM documents")
-def content_hashes(spark, sf_dir):
-    documents = B.table(spark, sf_dir, "documents")
-    return documents.select("doc_id", content_hash(documents.columns).alias("content_hash"))
+def content_hash(spark, sf_dir):
+    documents = B.documents(spark, sf_dir)
+    return documents.select("doc_id", hashing.content_hash(documents.columns).alias("content_hash"))
 
 
 _SEARCH_SQL = f"substr(concat_ws(' | ', nullif(source, ''), nullif({_NORMAL_SQL}, '')), 1, 4096)"
@@ -368,7 +369,7 @@ _SEARCH_SQL = f"substr(concat_ws(' | ', nullif(source, ''), nullif({_NORMAL_SQL}
 
 @query(f"SELECT doc_id, {_SEARCH_SQL} AS search_text FROM documents")
 def search_text(spark, sf_dir):
-    documents = B.table(spark, sf_dir, "documents").withColumn("text", X.normalize(F.col("text")))
+    documents = B.documents(spark, sf_dir).withColumn("text", X.normalize(F.col("text")))
     return documents.select(
         "doc_id", X.search_text([F.col("source"), F.col("text")]).alias("search_text")
     )
@@ -380,7 +381,7 @@ def search_text(spark, sf_dir):
 FROM documents"""
 )
 def lineage_meta(spark, sf_dir):
-    documents = B.table(spark, sf_dir, "documents")
+    documents = B.documents(spark, sf_dir)
     enriched = E.enrich_table(
         documents, "v1", F.lit("2024-01-01").cast("timestamp"), "doc_id", ["doc_id"]
     )
@@ -398,3 +399,22 @@ WHERE filled > 0"""
 )
 def profile_fill_rates(spark, sf_dir):
     return E.fill_rates(B.labelled_documents(spark, sf_dir))
+
+
+@query(
+    """WITH e AS (SELECT event_type, props FROM events)
+SELECT field, round(filled / n, 3) AS fill_rate FROM (
+  SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS a,
+         count(*) FILTER (WHERE event_type = 'view') AS b, count(*) AS c FROM e)
+UNPIVOT (filled FOR field IN (a, b, c)) WHERE filled > 0"""
+)
+def profile_json_fill_rates(spark, sf_dir):
+    """The same profile over JSON records: one field is sometimes null, one sometimes empty."""
+    a = F.when(F.col("event_type") == "click", "1").otherwise("null")
+    b = F.when(F.col("event_type") == "view", '"x"').when(F.col("event_type") == "error", "[]")
+    record = F.concat(
+        F.lit('{"a": '), a, F.lit(', "b": '), F.coalesce(b, F.lit('""')), F.lit(', "c": '),
+        F.col("props"), F.lit("}"),
+    )
+    events = spread(B.table(spark, sf_dir, "events")).select(F.parse_json(record).alias("rec"))
+    return E.variant_fill_rates(events)

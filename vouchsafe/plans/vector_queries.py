@@ -57,7 +57,7 @@ def hash_embed_norms(spark, sf_dir):
     vector = F.col("_vector")
     squares = F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v * v)
     filled = F.filter(vector, lambda v: v != 0)
-    return M.embed(B.table(spark, sf_dir, "documents"), embedder, "text").select(
+    return M.embed(B.documents(spark, sf_dir), embedder, "text").select(
         "doc_id",
         F.round(F.sqrt(squares), 6).alias("norm"),
         F.size(filled).cast("bigint").alias("filled"),
@@ -172,7 +172,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM ranked
 def text_search(spark, sf_dir):
     """Every benchmark passage is searched for among all documents."""
     embedder = M.HashingEmbedder(DIM, provider=SHA256)
-    documents = M.embed(B.table(spark, sf_dir, "documents"), embedder, "text").where(
+    documents = M.embed(B.documents(spark, sf_dir), embedder, "text").where(
         F.col("_vector").isNotNull()
     )
     queries = M.embed(B.table(spark, sf_dir, "benchmark"), embedder, "text").select(

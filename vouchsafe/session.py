@@ -82,3 +82,20 @@ def small_frame(spark: SparkSession, rows: Iterable[dict[str, Any]], schema: str
     """A few driver-side rows as a local relation, which needs no job to read."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
     return spark.createDataFrame(pa.Table.from_pylist(list(rows), arrow), schema)
+
+
+# Inputs up to this size are spread over all cores before work that is heavy on CPU.
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over the cores; a large one has enough splits and is left alone.
+
+    A small file is often one row group and so one task, whatever the cluster.
+    """
+    if df.isStreaming:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
