@@ -34,7 +34,7 @@ def observed_fields(
 
     Records that are no objects take a place among the leading ones but have no keys.
     """
-    leading = df.select(*order, record).orderBy(*order).limit(FINGERPRINT_RECORDS)
+    leading = _leading(df, order, FINGERPRINT_RECORDS).select(*order, record)
     place = F.struct(*order)
     entries = (
         leading.where(is_object(F.col(record)))
@@ -47,6 +47,17 @@ def observed_fields(
     return entries.groupBy("key").agg(F.min_by("type", "place").alias("type"))
 
 
+def _leading(df: DataFrame, order: list[str], count: int) -> DataFrame:
+    """The first ``count`` rows in order.
+
+    Where they end is found from the order columns alone, so that the wide columns
+    are read only near the front.
+    """
+    front = df.select(*order).orderBy(*order).limit(count)
+    last = front.agg(F.max(order[0])).scalar()
+    return df.where(F.col(order[0]) <= last).orderBy(*order).limit(count)
+
+
 def _variant_entries(spark) -> DataFrame:
     return spark.tvf.variant_explode(F.col("r").outer()).select("key", "value")
 
@@ -66,7 +77,7 @@ def typed_schema_fingerprint(
     Every row of a table has every column, so the first row in input order decides.
     """
     names = [name for name in df.columns if not name.startswith("_")]
-    first, schema = df.orderBy(*order).limit(1), df.schema
+    first, schema = _leading(df, order, 1), df.schema
     pairs = F.array(
         *[
             F.struct(F.lit(n).alias("key"), TypedField(schema, n).type_name.alias("type"))

@@ -111,19 +111,22 @@ def _block_candidates(
         for batch in batches:
             ids = batch.column(0)
             id_type = ids.type
-            scores = unit_rows(matrix(batch.column(1), dim)) @ units.T
-            for q, kept in enumerate(best):
-                column = scores[:, q]
-                # Only what reaches the k-th best so far, ties included, can matter.
-                bar = -kept[-1][0] if len(kept) == k else -np.inf
-                if len(column) > k:
-                    bar = max(bar, np.partition(column, len(column) - k)[len(column) - k])
-                near = np.nonzero(column >= bar)[0]
-                if len(near):
-                    near_ids = ids.take(pa.array(near)).to_pylist()
-                    kept.extend(zip((-column[near]).tolist(), near_ids))
-                    kept.sort()
-                    del kept[k:]
+            scores = units @ unit_rows(matrix(batch.column(1), dim)).T
+            # Only what reaches the k-th best so far, ties included, can matter.
+            bars = np.array([-kept[-1][0] if len(kept) == k else -np.inf for kept in best])
+            if len(ids) > k:
+                here = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                bars = np.maximum(bars, here)
+            query_of, near = np.nonzero(scores >= bars[:, None])
+            found = zip(
+                query_of.tolist(), (-scores[query_of, near]).tolist(),
+                ids.take(pa.array(near)).to_pylist(),
+            )
+            for q, negated, ident in found:
+                best[q].append((negated, ident))
+            for kept in best:
+                kept.sort()
+                del kept[k:]
         for key, kept in zip(keys, best):
             if kept:
                 yield pa.RecordBatch.from_arrays(

@@ -123,8 +123,10 @@ def document_checks(spark, sf_dir):
     )
     # A second delivery of the same table against the first.
     fingerprint = typed_schema_fingerprint(documents, ["doc_id"])
-    drifted = has_drifted(fingerprint.scalar(), fingerprint.scalar())
-    inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), drifted)
+    measured = measured.withColumn("current_hash", fingerprint.scalar()).withColumn(
+        "drifted", has_drifted(F.col("current_hash"), fingerprint.scalar())
+    )
+    inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), F.col("drifted"))
     return G.gate_suite(measured, inputs, "doc_id", BARS)
 
 
@@ -222,11 +224,11 @@ def lifecycle_trace(spark, sf_dir):
     )
     embedded = embed(enriched, HashingEmbedder())
     summary = C.validation_summary(judged)
-    metric = {name: summary.select(name).scalar() for name in summary.columns}
+    before = summary.select(F.struct(*summary.columns)).scalar()
     measured = embedded.agg(
         *G.measures(C.field_reader(embedded), list(CONTRACT.required), "id"),
         coverage().alias("coverage"),
-    ).withColumns({name: metric[name] for name in ("total", "valid", "quarantined", "pass_rate")})
+    ).withColumn("before", before).select("*", "before.*")
     inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), F.lit(False))
     checks = F.array(*G.gate_checks(inputs, "id", BARS))
     passed = F.forall(checks, lambda c: c["passed"])

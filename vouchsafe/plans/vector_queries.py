@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vouchsafe.functions.text import is_blank
 from vouchsafe.functions.vectors import SHA256, cosine_to
 from vouchsafe.operators import embedding as M
 from vouchsafe.operators import search as S
@@ -172,9 +173,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM ranked
 def text_search(spark, sf_dir):
     """Every benchmark passage is searched for among all documents."""
     embedder = M.HashingEmbedder(DIM, provider=SHA256)
-    documents = M.embed(B.documents(spark, sf_dir), embedder, "text").where(
-        F.col("_vector").isNotNull()
-    )
+    # Blank texts are left out before, not after, so that a text is embedded once.
+    filled = B.documents(spark, sf_dir).where(~is_blank(F.col("text")))
+    documents = M.embed(filled, embedder, "text")
     queries = M.embed(B.table(spark, sf_dir, "benchmark"), embedder, "text").select(
         F.col("item_id").alias("query_id"), F.col("_vector").alias("query_vector")
     )
