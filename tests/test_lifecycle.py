@@ -83,7 +83,7 @@ def test_promote_reject_promote_rollback(plane):
     assert status == {
         first.version_id: "promoted", bad.version_id: "rejected", third.version_id: "rolled_back",
     }
-    assert plane.trace if False else first.trace(plane.spark).count() == 6
+    assert first.trace(plane.spark).count() == 6
     assert {r["kind"] for r in plane.version_detail(bad.version_id).collect()} == {"check", "quarantine"}
     assert plane.zones.read_artifact(first.version_id, "profile").where("field = 'title'").first()["fill_rate"] == 1.0
 
@@ -177,3 +177,14 @@ def test_arriving_files_start_versions_once(plane, tmp_path):
 def test_bad_files_are_refused(plane):
     with pytest.raises(ValueError, match="line 2"):
         plane.run_file("products", land(plane, "products", "x.jsonl", '{"id": 1}\n{bad}'), "manual")
+
+
+def test_large_json_lines_are_read_in_splits(spark, tmp_path):
+    settings = Settings(gates=GateThresholds(min_records=5), embedding_dim=16, max_upload_bytes=100)
+    plane = GovernancePlane(spark, str(tmp_path / "zones"), settings)
+    lines = "\n".join(json.dumps(r) for r in GOOD + GOOD[:3])
+    run = plane.run_file("products", land(plane, "products", "big.jsonl", lines), "manual")
+    assert run.decision == "promoted"
+    assert metrics(run, "enrich")["duplicates_removed"] == 3
+    with pytest.raises(ValueError, match="large file"):
+        plane.run_file("products", land(plane, "products", "bad.jsonl", lines + "\n{oops"), "manual")

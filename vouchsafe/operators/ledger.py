@@ -201,7 +201,9 @@ def orphans(rows: DataFrame, versions: DataFrame) -> DataFrame:
 def version_detail(versions: DataFrame, reports: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Versions with their checks and quarantined records, one row per item.
 
-    The long form keeps a version with very many items spread over tasks.
+    The long form keeps a version with very many items spread over tasks. So does the
+    inner join, whose hot keys Spark splits on either side; versions without items
+    are added apart.
     """
     checks = reports.select(
         "version_id", F.lit("check").alias("kind"), F.col("check_name").alias("name"),
@@ -211,7 +213,10 @@ def version_detail(versions: DataFrame, reports: DataFrame, quarantine: DataFram
         "version_id", F.lit("quarantine").alias("kind"), F.col("reason").alias("name"),
         F.lit(None).cast("boolean").alias("passed"), F.lit(None).cast("double").alias("score"),
     )
-    return versions.join(checks.unionAll(failing), "version_id", "left")
+    items = checks.unionAll(failing)
+    listed = items.select("version_id").distinct()
+    bare = versions.join(listed, "version_id", "left_anti")
+    return versions.join(items, "version_id").unionByName(bare, allowMissingColumns=True)
 
 
 def stuck(versions: DataFrame, before: Column) -> DataFrame:

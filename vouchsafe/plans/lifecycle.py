@@ -370,7 +370,19 @@ class GovernancePlane:
     def run_file(
         self, dataset: str, path: str, trigger: str = "event", version_id: str | None = None
     ) -> Run:
-        """Publish one raw JSON or JSON-lines file."""
+        """Publish one raw JSON or JSON-lines file.
+
+        A file within the upload limit is parsed as a whole. A larger one must be JSON
+        lines and is read in splits.
+        """
+        length = list_objects(self.spark, path).agg(F.sum("length")).first()[0] or 0
+        if length > self.settings.max_upload_bytes:
+            records = J.read_json_lines(self.spark, path)
+            if not records.where(F.col("rec").isNull()).isEmpty():
+                raise ValueError("invalid JSON on a line of a large file")
+            return self.run(
+                dataset, Batch(records, ("_block", "_pos")), trigger, version_id, path
+            )
         records, rejected = J.read_json_records(self.spark, path)
         refusal = rejected.first()
         if refusal:

@@ -94,19 +94,19 @@ def read_json_records(spark: SparkSession, *paths: str) -> tuple[DataFrame, Data
 
 
 def read_json_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Large JSON-lines files, read in splits: ``(path, _pos, rec)``; bad lines have no ``rec``.
+    """Large JSON-lines files, read in splits: ``(path, _block, _pos, rec)``.
 
-    ``_pos`` grows with the place in the file but has gaps.
+    Order within a file is that of ``(_block, _pos)``; positions have gaps. A bad line
+    has no ``rec``.
     """
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),
         F.col("value"),
     )
-    place = F.shiftleft(F.col("start"), 0)
     return lines.where(~is_blank(F.col("value"))).select(
-        "path", place.alias("_block"), F.col("row").alias("_pos"), strict_json(F.col("value")).alias("rec")
+        "path", "_block", "_pos", strict_json(F.col("value")).alias("rec")
     )
 
 
