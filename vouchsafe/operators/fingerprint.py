@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,15 @@ STABLE = "schema stable"
 
 
 def _hash_of_fields(fields: DataFrame) -> DataFrame:
-    """One row: the hash of the sorted ``{"key": "type"}`` object of ``(key, type)`` rows."""
+    """One row: the hash of the sorted ``{"key": "type"}`` object.
+
+    ``fields`` holds ``key``, the key as a JSON literal, and ``type``.
+    """
     entry = F.struct("key", F.concat("literal", F.lit(': "'), "type", F.lit('"')).alias("text"))
     entries = F.array_sort(F.collect_list(entry))
     joined = F.concat_ws(", ", F.transform(entries, lambda e: e["text"]))
-    return (
-        fields.withColumn("literal", json_literal("key"))
-        .agg(short_sha256(F.concat(F.lit("{"), joined, F.lit("}"))).alias("schema_hash"))
-    )
+    text = F.concat(F.lit("{"), joined, F.lit("}"))
+    return fields.agg(short_sha256(text).alias("schema_hash"))
 
 
 def observed_fields(
@@ -66,7 +69,8 @@ def schema_fingerprint(
     df: DataFrame, order: list[str], record: str, ignore_nulls: bool = False
 ) -> DataFrame:
     """One row ``schema_hash`` for JSON records held as VARIANT."""
-    return _hash_of_fields(observed_fields(df, order, record, ignore_nulls))
+    fields = observed_fields(df, order, record, ignore_nulls)
+    return _hash_of_fields(fields.withColumn("literal", json_literal("key")))
 
 
 def typed_schema_fingerprint(
@@ -80,7 +84,11 @@ def typed_schema_fingerprint(
     first, schema = _leading(df, order, 1), df.schema
     pairs = F.array(
         *[
-            F.struct(F.lit(n).alias("key"), TypedField(schema, n).type_name.alias("type"))
+            F.struct(
+                F.lit(n).alias("key"),
+                F.lit(json.dumps(n)).alias("literal"),
+                TypedField(schema, n).type_name.alias("type"),
+            )
             for n in names
         ]
     )
