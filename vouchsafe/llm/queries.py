@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.llm import packing, probminhash, toxicity, weak_rules, winnowing
-from vouchsafe.llm.common import crc32_of
+from vouchsafe.llm import (
+    counting,
+    license_join,
+    packing,
+    probminhash,
+    pu_quality,
+    toxicity,
+    training_order,
+    url_rules,
+    weak_rules,
+    winnowing,
+)
+from vouchsafe.llm.common import crc32_of, shared_folder
 from vouchsafe.session import prepare
 
 QUERIES = {}
@@ -27,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sequence of ids stands in the written shards."""
+    docs = table(spark, sf_dir, "documents")
+    return training_order.write_shards(docs, shared_folder(spark, "training"), key=20240229)
+
+
 def toxic_held_out() -> Column:
     return crc32_of("doc_id") % 5 == 0
 
@@ -41,11 +59,41 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_resynchronised_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
+    )
+    return counting.counted(docs).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counting.LIMIT).alias("over_limit")
+    )
+
+
 @query()
 def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def quality_held_out() -> Column:
+    return crc32_of("doc_id") % 4 == 2
+
+
+@query()
+def op5_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pu_quality.train(docs, labels, ~quality_held_out())
+    return pu_quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality_held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query()
+def op6_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return url_rules.judged(pages, labels, bad=(F.col("quality") == 0) | (F.col("toxic") == 1))
+
+
 @query()
 def op7_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +115,16 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query()
+def op9_set_similarity_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_join.scanned(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 @query()
 def op10_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))

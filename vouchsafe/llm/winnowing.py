@@ -267,7 +267,12 @@ def contamination(
         .groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
     found = hit.join(named, "_key")
-    return per_doc.drop("_probes").join(found, "_key", "left").select(
+    # documents without a key ask nothing: they must not meet in one partition of the join
+    bare = per_doc.drop("_probes")
+    joined = bare.where("_key IS NOT NULL").join(found, "_key", "left").unionByName(
+        bare.where("_key IS NULL"), allowMissingColumns=True
+    )
+    return joined.select(
         F.col(id_column),
         F.when(F.col("n_hit") > 0, F.col("_key")).alias("_key"),
         "n_words",
