@@ -121,8 +121,10 @@ def counted(
     """``docs`` with the number of tokens of each whole text."""
     path = vocabulary or vocabulary_path()
     text = fresh_name(docs, "_t")
-    table = docs.select("*", F.col(f"`{text_column}`").cast("string").alias(text))
-    names = [*docs.columns, into]
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    own = [F.col(f"`{c}`") for c in kept]
+    table = docs.select(*own, F.col(f"`{text_column}`").cast("string").alias(text))
+    names = [*kept, into]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
@@ -141,7 +143,7 @@ def counted(
                 [*batch.columns[:last], pa.array(counts, pa.int64())], names
             )
 
-    schema = docs.select("*", F.lit(0).cast("bigint").alias(into)).schema
+    schema = docs.select(*own, F.lit(0).cast("bigint").alias(into)).schema
     for field in schema:
         field.nullable = True
     return table.mapInArrow(make, schema)

@@ -10,7 +10,7 @@ shingle repeats.
 Bands of registers make candidates. In a bucket (texts equal in one band) all are compared with the
 least, its centre, never with each other. Where some member is not close enough to the centre, those
 which can still be close to it are dealt anew by the bucket and each later band; that repeats until
-each bucket is a centre and members that are close. The distance 1 - similarity is a metric, so a
+what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
 member that is too far from the centre for that is left out without loss. Candidates are verified by
 their exact similarity, and linked texts form classes.
 
@@ -147,38 +147,32 @@ def grams_of_rows(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def verified(
-    pairs: DataFrame, docs: DataFrame, text_column: str, k: int = SHINGLE
-) -> DataFrame:
-    """(centre, member, similarity) of pairs of nodes, from their whole texts."""
-    asked = pairs.select(F.col("centre").alias("node")).union(pairs.select("member")).distinct()
+def texts_of_nodes(nodes: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
+    """(node, text) of these nodes; of several copies one text goes on."""
     texts = docs.select(
         text_key(text_or_empty(f"`{text_column}`")).alias("node"),
         text_or_empty(f"`{text_column}`").alias("text"),
     )
-    # of several copies one text goes on; those that are not asked for do not leave their task
-    texts = settle(
-        texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")),
-        "texts",
-    )
+    return texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(centre, member, similarity) of pairs of nodes, from their whole texts."""
     centres = texts.select(F.col("node").alias("centre"), F.col("text").alias("_a"))
     members = texts.select(F.col("node").alias("member"), F.col("text").alias("_b"))
     both = pairs.select("centre", "member").join(members, "member").join(centres, "centre")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_batches(iter([whole]), "_b"):
-                # pairs of one centre come together: its text is taken apart once
-                a = batch.column("_a").dictionary_encode()
-                left = _sets(a.dictionary, k)
-                right = _sets(batch.column("_b"), k)
-                values = [
-                    similarity(left[i], r) for i, r in zip(a.indices.to_pylist(), right)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("centre"), batch.column("member"), pa.array(values, pa.float64())],
-                    ["centre", "member", "similarity"],
-                )
+        for batch in small_batches(batches, "_b"):
+            # pairs of one centre come together: its text is taken apart once
+            a = batch.column("_a").dictionary_encode()
+            left = _sets(a.dictionary, k)
+            right = _sets(batch.column("_b"), k)
+            values = [similarity(left[i], r) for i, r in zip(a.indices.to_pylist(), right)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("centre"), batch.column("member"), pa.array(values, pa.float64())],
+                ["centre", "member", "similarity"],
+            )
 
     return both.select("centre", "member", "_a", "_b").mapInArrow(
         make, "centre binary, member binary, similarity double"
@@ -194,19 +188,15 @@ def _sets(column: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
-def links_of(
-    classes: DataFrame, docs: DataFrame, text_column: str, bands: int = BANDS,
-    threshold: float = SIMILARITY,
+def roots_of(
+    classes: DataFrame, docs: DataFrame, text_column: str, threshold: float = SIMILARITY
 ) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes.
-
-    ``classes`` has one row per node: (node, bands).
-    """
+    """(node, root) for every node that is linked to another; ``classes`` is (node, bands)."""
     numbered = classes.where("bands IS NOT NULL").select(
         "node", F.posexplode("bands").alias("band", "_h")
     )
     members = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "band", "node")
-    every, known = None, None
+    texts = known = None
     while True:
         centres = members.groupBy("bucket").agg(
             F.min("node").alias("centre"), F.count("*").alias("_n")
@@ -217,12 +207,15 @@ def links_of(
             "buckets",
         )
         pairs = dealt.select("centre", "member").distinct()
-        if known is not None:
+        if texts is None:
+            nodes = pairs.select(F.col("centre").alias("node")).union(pairs.select("member"))
+            texts = settle(texts_of_nodes(nodes.distinct(), docs, text_column), "texts")
+        else:  # later buckets are parts of the first ones
             pairs = pairs.join(known.select("centre", "member"), ["centre", "member"], "left_anti")
-        found = settle(verified(settle(pairs, "pairs"), docs, text_column), "verified")
+        found = settle(verified(pairs, texts), "verified")
         known = found if known is None else known.unionByName(found)
-        close = found.where(F.col("similarity") >= threshold)
-        every = close if every is None else every.unionByName(close)
+        close = known.where(F.col("similarity") >= threshold)
+        roots = components(close, "centre", "member")
 
         judged = dealt.where("_n > 2").join(known, ["centre", "member"])
         far = judged.where(F.col("similarity") < threshold).groupBy("bucket").agg(
@@ -233,9 +226,16 @@ def links_of(
         open_ = judged.join(far, "bucket").where(
             F.col("similarity") <= F.col("_far") + (1 - threshold) + 1e-9
         )
-        left = settle(open_.select("bucket", "band", F.col("member").alias("node")), "open")
+        # Where all that may still be linked are of one class already, another link adds nothing.
+        rooted = open_.select("bucket", "band", F.col("member").alias("node")).join(
+            roots, "node", "left"
+        ).withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("bucket").agg(
+            F.min("root").alias("_least"), F.max("root").alias("_most")
+        ).where("_least != _most")
+        left = settle(rooted.join(several, "bucket").select("bucket", "band", "node"), "open")
         if left.isEmpty():
-            return every.select(F.col("centre").alias("a"), F.col("member").alias("b"), "similarity")
+            return roots
         later = numbered.select("node", F.col("band").alias("_later"), "_h")
         members = left.join(later, "node").where("_later > band").select(
             F.xxhash64("bucket", "_later", "_h").alias("bucket"),
@@ -255,8 +255,7 @@ def classified(
         rows.groupBy("node").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands")),
         "classes",
     )
-    links = links_of(classes.select("node", "bands"), docs, text_column)
-    roots = components(links)
+    roots = roots_of(classes.select("node", "bands"), docs, text_column)
     of_class = (
         classes.join(roots, "node", "left")
         .select("node", F.col("_id").alias("_least"), F.coalesce("root", "node").alias("root"))

@@ -86,10 +86,10 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             *(s / per_char for s in sums[:3]),
             *(s / per_word for s in sums[3:]),
             np.bincount(texts[same], minlength=n) / per_word,
-            1 - _distinct(texts, words.hashes, n) / per_word,
-            1 - _distinct(texts[whole], three[whole], n) / np.maximum(n_three, 1),
+            (n_words - _distinct(texts, words.hashes, n)) / per_word,
+            (n_three - _distinct(texts[whole], three[whole], n)) / np.maximum(n_three, 1),
             np.log1p(n_words / per_line),
-            1 - _distinct(text_numbers(lines.bounds), lines.hashes, n) / per_line,
+            (n_lines - _distinct(text_numbers(lines.bounds), lines.hashes, n)) / per_line,
         ],
         axis=1,
     )
@@ -260,8 +260,10 @@ def scored(
     """``docs`` with a score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = fresh_name(docs, "_t")
-    table = docs.select("*", F.col(f"`{text_column}`").cast("string").alias(text))
-    names = [*docs.columns, into]
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    own = [F.col(f"`{c}`") for c in kept]
+    table = docs.select(*own, F.col(f"`{text_column}`").cast("string").alias(text))
+    names = [*kept, into]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
@@ -271,7 +273,7 @@ def scored(
                 [*batch.columns[:last], pa.array(score, pa.float64())], names
             )
 
-    schema = docs.select("*", F.lit(0.0).alias(into)).schema
+    schema = docs.select(*own, F.lit(0.0).alias(into)).schema
     for field in schema:
         field.nullable = True
     return table.mapInArrow(make, schema)

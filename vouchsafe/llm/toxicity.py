@@ -202,7 +202,7 @@ def labelled_words(
     """Distinct word hashes of the labelled texts learned from: (hashes, bounds, labels).
 
     At most ``max_labelled`` ids are taken, so what is broadcast and what reaches the driver is
-    bounded whatever the tables hold.
+    bounded whatever the tables hold; of an id's several documents one is taken.
     """
     chosen = (
         labels.where(train & F.col(label).isNotNull() & F.col(id_column).isNotNull())
@@ -211,7 +211,9 @@ def labelled_words(
     )
     rows = (
         docs.select(F.col(id_column), F.col(text_column).cast("string").alias("_text"))
-        .join(F.broadcast(chosen), id_column).select("_label", "_text")
+        .join(F.broadcast(chosen), id_column)
+        .groupBy(id_column).agg(F.max("_label").alias("_label"), F.min("_text").alias("_text"))
+        .select("_label", "_text")
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +253,10 @@ def scored(
     """``docs`` with a score of every whole text in the column ``into``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = fresh_name(docs, "_t")
-    table = docs.select("*", F.col(f"`{text_column}`").cast("string").alias(text))
-    names = [*docs.columns, into]
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    own = [F.col(f"`{c}`") for c in kept]
+    table = docs.select(*own, F.col(f"`{text_column}`").cast("string").alias(text))
+    names = [*kept, into]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
@@ -262,7 +266,7 @@ def scored(
                 [*batch.columns[:last], pa.array(score, pa.float64())], names
             )
 
-    schema = docs.select("*", F.lit(0.0).alias(into)).schema
+    schema = docs.select(*own, F.lit(0.0).alias(into)).schema
     for field in schema:
         field.nullable = True
     return table.mapInArrow(make, schema)

@@ -236,22 +236,19 @@ def judged(
     rules = rules or default_rules()
     column = fresh_name(docs, "quality_rules")
     kept = docs.columns if carry is None else carry
-    text = fresh_name(docs, "_t")
-    plain = docs.select(
-        *(F.col(f"`{c}`") for c in kept), text_or_empty(f"`{text_column}`").cast("string").alias(text)
-    )
-    table = measured(plain, F.col(text), column).drop(text)
-    table = settle(table, "measures")
-    inner = table.select(F.col(f"`{column}`.*")).columns
-    flat = table.select(f"`{column}`.*")
+    # the row travels as one struct, so that no name of it meets one of the work's
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
+    plain = docs.select(row, text_or_empty(f"`{text_column}`").cast("string").alias("_t"))
+    table = settle(measured(plain, F.col("_t"), "_m").drop("_t"), "measures")
+    inner = table.select("_m.*").columns
+    flat = table.select("_m.*")
     votes = [r.vote().alias(f"v{j}") for j, r in enumerate(rules)]
     # What the base rules reject is decided and would only blur the classes.
     counted = flat.where(~base_failed()).select(*votes).groupBy(*(f"v{j}" for j in range(len(rules)))).count().collect()
     model = estimate({tuple(r[:-1]): r[-1] for r in counted}, len(rules))
 
     # Rules name measures as plain columns: judge a projection in which only they are visible.
-    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
-    verdict = table.select(row, F.col(f"`{column}`.*"))
+    verdict = table.select("_row", "_m.*")
     verdict = verdict.select(
         "_row", F.struct(*inner).alias("_m"), base_failed().alias("base_failed"),
         model.posterior([r.vote() for r in rules]).alias("posterior"),

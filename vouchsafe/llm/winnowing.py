@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchsafe.llm.common import row_key, settle, small_batches, texts_of
+from vouchsafe.llm.common import fresh_name, row_key, settle, small_batches, texts_of
 from vouchsafe.llm.words import find_words, gram_texts, grams
 
 WINDOW = 13
@@ -96,7 +96,7 @@ def benchmark_prints(
 
     table = items.select(
         F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"),
-        F.col(text_column).cast("string").alias("_text"),
+        F.col(f"`{text_column}`").cast("string").alias("_text"),
     )
     return table.mapInArrow(make, "item string, hash bigint, size int, left int, words binary")
 
@@ -147,7 +147,10 @@ def probes(
     spark = docs.sparkSession
     lengths = sorted(r[0] for r in prints.where("size > 0").select("size").distinct().collect())
     bitmap = spark.sparkContext.broadcast(bitmap_of(prints, bits))
-    table = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("_text"))
+    table = docs.select(
+        F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").cast("string").alias("_text"),
+        F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("-")).alias("_name"),
+    )
     probe = pa.struct(
         [("hash", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("left", pa.int32()),
          ("words", pa.binary())]
@@ -168,11 +171,11 @@ def probes(
                     found[d].append(
                         {"hash": h, "pos": pos, "size": size, "left": left, "words": around}
                     )
-            ids = batch.column(0).to_pylist()
+            # the key that row_key gives
+            names = batch.column(2).to_pylist()
             keys = [
                 hashlib.md5(
-                    f"{'-' if ids[d] is None else ids[d]}\n".encode()
-                    + data[offsets[d] : offsets[d + 1]].tobytes()
+                    f"{names[d]}\n".encode() + data[offsets[d] : offsets[d + 1]].tobytes()
                 ).digest()
                 if found[d]
                 else None
@@ -183,12 +186,12 @@ def probes(
                     batch.column(0), pa.array(keys, pa.binary()), pa.array(words.counts()),
                     pa.array([f or None for f in found], pa.list_(probe)),
                 ],
-                [id_column, "_key", "n_words", "_probes"],
+                ["_id", "_key", "n_words", "_probes"],
             )
 
     id_type = table.schema[0].dataType.simpleString()
     return table.mapInArrow(
-        make, f"`{id_column}` {id_type}, _key binary, n_words bigint, _probes array<{PROBE}>"
+        make, f"_id {id_type}, _key binary, n_words bigint, _probes array<{PROBE}>"
     )
 
 
@@ -273,7 +276,7 @@ def contamination(
         bare.where("_key IS NULL"), allowMissingColumns=True
     )
     return joined.select(
-        F.col(id_column),
+        F.col("_id").alias(id_column),
         F.when(F.col("n_hit") > 0, F.col("_key")).alias("_key"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
@@ -289,6 +292,7 @@ def is_contaminated():
 def clean(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     found = contamination(docs, items, **columns).where(is_contaminated())
-    bad = found.select(F.col("_key").alias("_bad")).distinct()
+    name = fresh_name(docs, "_bad")
+    bad = found.select(F.col("_key").alias(name)).distinct()
     key = row_key(columns.get("id_column", "doc_id"), columns.get("text_column", "text"))
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    return docs.join(bad, key == F.col(name), "left_anti")
