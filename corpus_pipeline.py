@@ -16,26 +16,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, weighed by their estimated accuracies, take to be good."""
     prepare(spark)
-    return weak_rules.keep_good(docs).select(*COLUMNS)
+    return weak_rules.keep_good(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from labelled ones."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, labels, crc32_of("doc_id") % 5 != 0)
-    return toxicity.scored(docs, model, "_toxic").where("_toxic < 0.5").select(*COLUMNS)
+    return toxicity.scored(docs, model, "toxicity").where("toxicity < 0.5").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     prepare(spark)
-    return probminhash.deduplicated(docs).select(*COLUMNS)
+    return probminhash.deduplicated(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     items = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    return winnowing.clean(docs, items).select(*COLUMNS)
+    return winnowing.clean(docs.select(*COLUMNS), items).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
