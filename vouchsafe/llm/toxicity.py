@@ -119,7 +119,7 @@ def _screened(
 
 def fit(
     hashes: np.ndarray, bounds: np.ndarray, labels: np.ndarray, groups=IDENTITY_TERMS,
-    fairness: float = 10.0, l1: float = 2e-4, rounds: int = 400,
+    fairness: float = 3.0, l1: float = 2e-4, rounds: int = 500,
     min_texts: int = MIN_TEXTS, max_words: int = MAX_WORDS,
 ) -> WordModel:
     """Fit on texts given as runs of distinct word hashes.
@@ -164,26 +164,30 @@ def fit(
     times = np.array(times, float) / max(1.0, float(sum(times)))
 
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
-    # step size from the greatest curvature
-    top = 0.0
-    probe = np.ones(size)
-    for _ in range(20):  # power iteration on the weighted Gram matrix
-        probe = x.back(weight * x.times(probe), size)
-        top = np.linalg.norm(probe)
+    def swaps(v: np.ndarray) -> np.ndarray:
+        """Slope of half the penalty: its rows are e[come] - e[gone]."""
+        if not len(times):
+            return np.zeros(size)
+        known = come >= 0
+        pull = fairness * times * (np.where(known, v[come], 0.0) - v[gone])
+        return np.bincount(come[known], pull[known], size) - np.bincount(gone, pull, size)
+
+    # The step follows from the greatest curvature, found by power iteration.
+    probe, top = np.ones(size) / np.sqrt(size), 0.0
+    probe[: size // 2] *= -1
+    for _ in range(50):
+        probe = 0.25 * x.back(weight * x.times(probe), size) + 2 * swaps(probe)
+        top = float(np.linalg.norm(probe))
         if top == 0:
             break
         probe /= top
-    reach = 0.25 * (top + 1) + 4 * fairness * (times.max() if len(times) else 0)
+    reach = 1.1 * top + 0.5
     w, b, v, vb, t = np.zeros(size), 0.0, np.zeros(size), 0.0, 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x.times(v) + vb, -500, 500)))
         g = weight * (p - labels)
         slope = x.back(g, size)
-        if len(times):
-            change = np.where(come >= 0, v[come], 0.0) - v[gone]
-            pull = 2 * fairness * times * change
-            slope -= np.bincount(gone, pull, size)
-            slope += np.bincount(come[come >= 0], pull[come >= 0], size)
+        slope += 2 * swaps(v)
         new = v - slope / reach
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / reach, 0)
         new_b = vb - g.sum() / reach
