@@ -9,8 +9,8 @@ shingle repeats.
 
 Bands of registers make candidates. In a bucket (texts equal in one band) all are compared with the
 least, its centre, never with each other. Where some member is not close enough to the centre, those
-which can still be close to it are dealt anew by the bucket and each later band; that repeats until
-what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
+which can still be close to it are dealt anew by the bucket and each later band, and there compared with
+a few centres; that repeats until what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
 member that is too far from the centre for that is left out without loss. Candidates are verified by
 their exact similarity, and linked texts form classes.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchsafe.llm.common import fresh_name, settle, small_batches, text_or_empty, texts_of
@@ -188,6 +188,40 @@ def _sets(column: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
+def _centred(members: DataFrame, centres: int) -> DataFrame:
+    """Members of buckets with company, compared with their bucket's least members.
+
+    (bucket, band, centre, member, place, complete): ``place`` numbers the centres, ``complete``
+    says that the bucket is so small that all of it has been compared, or that the member is a centre.
+    """
+    if centres == 1:
+        chosen = members.groupBy("bucket").agg(
+            F.array(F.min("node")).alias("_centres"), F.count("*").alias("_n")
+        )
+    else:
+        least = Window.partitionBy("bucket").orderBy("node")
+        first = members.select("bucket", "node", F.row_number().over(least).alias("_r")).where(
+            F.col("_r") <= centres
+        )
+        chosen = first.groupBy("bucket").agg(
+            F.array_sort(F.collect_list("node")).alias("_centres")
+        ).join(members.groupBy("bucket").agg(F.count("*").alias("_n")), "bucket")
+    node = F.col("node")
+    return (
+        members.join(chosen.where("_n > 1"), "bucket")
+        .select(
+            "bucket", "band", "node",
+            ((F.col("_n") <= centres + 1) | F.array_contains("_centres", node)).alias("complete"),
+            F.posexplode(F.filter("_centres", lambda c: c < node)).alias("place", "centre"),
+        )
+        .withColumnRenamed("node", "member")
+    )
+
+
+#: How many centres a bucket has when it is dealt anew; buckets of one more are then complete.
+LATER_CENTRES = 3
+
+
 def roots_of(
     classes: DataFrame, docs: DataFrame, text_column: str, threshold: float = SIMILARITY
 ) -> DataFrame:
@@ -196,18 +230,12 @@ def roots_of(
         "node", F.posexplode("bands").alias("band", "_h")
     )
     members = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "band", "node")
-    texts = known = None
+    texts = known = roots = None
+    anew = False
     while True:
-        centres = members.groupBy("bucket").agg(
-            F.min("node").alias("centre"), F.count("*").alias("_n")
-        ).where("_n > 1")
-        dealt = settle(
-            members.join(centres, "bucket").where("node != centre")
-            .select("bucket", "band", "centre", F.col("node").alias("member"), "_n"),
-            "buckets",
-        )
+        dealt = settle(_centred(members, 1 if known is None else LATER_CENTRES), "buckets")
         pairs = dealt.select("centre", "member").distinct()
-        if texts is None:
+        if known is None:
             nodes = pairs.select(F.col("centre").alias("node")).union(pairs.select("member"))
             texts = settle(texts_of_nodes(nodes.distinct(), docs, text_column), "texts")
         else:  # later buckets are parts of the first ones
@@ -215,9 +243,10 @@ def roots_of(
         found = settle(verified(pairs, texts), "verified")
         known = found if known is None else known.unionByName(found)
         close = known.where(F.col("similarity") >= threshold)
-        roots = components(close, "centre", "member")
+        if roots is None:
+            roots = components(close, "centre", "member")
 
-        judged = dealt.where("_n > 2").join(known, ["centre", "member"])
+        judged = dealt.where("place = 0 AND NOT complete").join(known, ["centre", "member"])
         far = judged.where(F.col("similarity") < threshold).groupBy("bucket").agg(
             F.max("similarity").alias("_far")
         )
@@ -235,7 +264,8 @@ def roots_of(
         ).where("_least != _most")
         left = settle(rooted.join(several, "bucket").select("bucket", "band", "node"), "open")
         if left.isEmpty():
-            return roots
+            return components(close, "centre", "member") if anew else roots
+        anew = True
         later = numbered.select("node", F.col("band").alias("_later"), "_h")
         members = left.join(later, "node").where("_later > band").select(
             F.xxhash64("bucket", "_later", "_h").alias("bucket"),
