@@ -7,8 +7,8 @@ most shingles need one arrival. Two texts agree in a register with the probabili
 their shingle counts, which does not depend on scale and is the plain Jaccard similarity where no
 shingle repeats.
 
-Bands of registers make candidates. In a bucket (texts equal in one band) all are compared with the
-least, its centre, never with each other. Where some member is not close enough to the centre, those
+Bands of registers make candidates. In a bucket (texts equal in one band) all are compared with one of
+them, its centre, never with each other; each bucket draws its own. Where some member is not close enough to the centre, those
 which can still be close to it are dealt anew by the bucket and each later band, and there compared with
 a few centres; that repeats until what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
 member that is too far from the centre for that is left out without loss. Candidates are verified by
@@ -157,25 +157,25 @@ def texts_of_nodes(nodes: DataFrame, docs: DataFrame, text_column: str) -> DataF
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(centre, member, similarity) of pairs of nodes, from their whole texts."""
-    centres = texts.select(F.col("node").alias("centre"), F.col("text").alias("_a"))
-    members = texts.select(F.col("node").alias("member"), F.col("text").alias("_b"))
-    both = pairs.select("centre", "member").join(members, "member").join(centres, "centre")
+    """(a, b, similarity) of pairs of nodes, from their whole texts."""
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("_a"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("_b"))
+    both = pairs.select("a", "b").join(second, "b").join(first, "a")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_b"):
-            # pairs of one centre come together: its text is taken apart once
+            # pairs of one text come together: it is taken apart once
             a = batch.column("_a").dictionary_encode()
             left = _sets(a.dictionary, k)
             right = _sets(batch.column("_b"), k)
             values = [similarity(left[i], r) for i, r in zip(a.indices.to_pylist(), right)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("centre"), batch.column("member"), pa.array(values, pa.float64())],
-                ["centre", "member", "similarity"],
+                [batch.column("a"), batch.column("b"), pa.array(values, pa.float64())],
+                ["a", "b", "similarity"],
             )
 
-    return both.select("centre", "member", "_a", "_b").mapInArrow(
-        make, "centre binary, member binary, similarity double"
+    return both.select("a", "b", "_a", "_b").mapInArrow(
+        make, "a binary, b binary, similarity double"
     )
 
 
@@ -189,37 +189,35 @@ def _sets(column: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _centred(members: DataFrame, centres: int) -> DataFrame:
-    """Members of buckets with company, compared with their bucket's least members.
+    """Members of buckets with company, compared with their bucket's centres.
 
-    (bucket, band, centre, member, place, complete): ``place`` numbers the centres, ``complete``
-    says that the bucket is so small that all of it has been compared, or that the member is a centre.
+    A bucket's centres are its first members in an order of its own, so a text that is in many
+    buckets meets many different centres. (bucket, band, node, centre, place, complete): ``place``
+    numbers the centres; ``complete`` says that the member has been compared with all of its bucket.
     """
+    ranked = F.struct(F.xxhash64("bucket", "node").alias("r"), F.col("node").alias("c"))
     if centres == 1:
         chosen = members.groupBy("bucket").agg(
-            F.array(F.min("node")).alias("_centres"), F.count("*").alias("_n")
+            F.array(F.min(ranked)).alias("_centres"), F.count("*").alias("_n")
         )
     else:
-        least = Window.partitionBy("bucket").orderBy("node")
-        first = members.select("bucket", "node", F.row_number().over(least).alias("_r")).where(
-            F.col("_r") <= centres
-        )
+        order = Window.partitionBy("bucket").orderBy("_o")
+        first = members.select("bucket", ranked.alias("_o")).withColumn(
+            "_r", F.row_number().over(order)
+        ).where(F.col("_r") <= centres)
         chosen = first.groupBy("bucket").agg(
-            F.array_sort(F.collect_list("node")).alias("_centres")
+            F.array_sort(F.collect_list("_o")).alias("_centres")
         ).join(members.groupBy("bucket").agg(F.count("*").alias("_n")), "bucket")
-    node = F.col("node")
-    return (
-        members.join(chosen.where("_n > 1"), "bucket")
-        .select(
-            "bucket", "band", "node",
-            ((F.col("_n") <= centres + 1) | F.array_contains("_centres", node)).alias("complete"),
-            F.posexplode(F.filter("_centres", lambda c: c < node)).alias("place", "centre"),
-        )
-        .withColumnRenamed("node", "member")
-    )
+    dealt = members.join(chosen.where("_n > 1"), "bucket").withColumn("_o", ranked)
+    return dealt.select(
+        "bucket", "band", "node",
+        ((F.col("_n") <= centres + 1) | F.array_contains("_centres", F.col("_o"))).alias("complete"),
+        F.posexplode(F.filter("_centres", lambda c: c < F.col("_o"))).alias("place", "_c"),
+    ).select("bucket", "band", "node", "complete", "place", F.col("_c.c").alias("centre"))
 
 
 #: How many centres a bucket has when it is dealt anew; buckets of one more are then complete.
-LATER_CENTRES = 3
+LATER_CENTRES = 6
 
 
 def roots_of(
@@ -231,22 +229,26 @@ def roots_of(
     )
     members = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "band", "node")
     texts = known = roots = None
-    anew = False
     while True:
-        dealt = settle(_centred(members, 1 if known is None else LATER_CENTRES), "buckets")
-        pairs = dealt.select("centre", "member").distinct()
+        dealt = settle(
+            _centred(members, 1 if known is None else LATER_CENTRES).select(
+                "bucket", "band", "node", "complete", "place",
+                F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"),
+            ),
+            "buckets",
+        )
+        pairs = dealt.select("a", "b").distinct()
         if known is None:
-            nodes = pairs.select(F.col("centre").alias("node")).union(pairs.select("member"))
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
             texts = settle(texts_of_nodes(nodes.distinct(), docs, text_column), "texts")
         else:  # later buckets are parts of the first ones
-            pairs = pairs.join(known.select("centre", "member"), ["centre", "member"], "left_anti")
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = settle(verified(pairs, texts), "verified")
         known = found if known is None else known.unionByName(found)
-        close = known.where(F.col("similarity") >= threshold)
-        if roots is None:
-            roots = components(close, "centre", "member")
+        if roots is None or not found.where(F.col("similarity") >= threshold).isEmpty():
+            roots = components(known.where(F.col("similarity") >= threshold))
 
-        judged = dealt.where("place = 0 AND NOT complete").join(known, ["centre", "member"])
+        judged = dealt.where("place = 0 AND NOT complete").join(known, ["a", "b"])
         far = judged.where(F.col("similarity") < threshold).groupBy("bucket").agg(
             F.max("similarity").alias("_far")
         )
@@ -255,17 +257,38 @@ def roots_of(
         open_ = judged.join(far, "bucket").where(
             F.col("similarity") <= F.col("_far") + (1 - threshold) + 1e-9
         )
-        # Where all that may still be linked are of one class already, another link adds nothing.
-        rooted = open_.select("bucket", "band", F.col("member").alias("node")).join(
-            roots, "node", "left"
-        ).withColumn("root", F.coalesce("root", "node"))
-        several = rooted.groupBy("bucket").agg(
-            F.min("root").alias("_least"), F.max("root").alias("_most")
-        ).where("_least != _most")
-        left = settle(rooted.join(several, "bucket").select("bucket", "band", "node"), "open")
+        rooted = settle(
+            open_.select("bucket", "band", "node").join(roots, "node", "left")
+            .withColumn("root", F.coalesce("root", "node")),
+            "rooted",
+        )
+        # Open is a bucket with members of several classes not all of which have been compared.
+        # Of buckets with the same members one goes on, that with the most bands to come.
+        of_class = rooted.groupBy("bucket", "band", "root").agg(
+            F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_who")
+        )
+        sizes = of_class.groupBy("bucket", "band").agg(
+            F.sum("_n").alias("_n"), F.bit_xor("_who").alias("_who"),
+            ((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2)
+            .cast("bigint").alias("_cross"),
+        )
+        apart = known.where(F.col("similarity") < threshold)
+        one = rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("_ra"))
+        two = rooted.select("bucket", F.col("node").alias("b"), F.col("root").alias("_rb"))
+        compared = (
+            apart.select("a", "b").join(one, "a").join(two, ["bucket", "b"])
+            .where("_ra != _rb").groupBy("bucket").agg(F.count("*").alias("_known"))
+        )
+        groups = (
+            sizes.where("_cross > 0").join(compared, "bucket", "left")
+            .where(F.col("_cross") > F.coalesce("_known", F.lit(0)))
+            .groupBy("_n", "_who").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket"))
+        )
+        left = settle(
+            rooted.join(groups, "bucket", "left_semi").select("bucket", "band", "node"), "open"
+        )
         if left.isEmpty():
-            return components(close, "centre", "member") if anew else roots
-        anew = True
+            return roots
         later = numbered.select("node", F.col("band").alias("_later"), "_h")
         members = left.join(later, "node").where("_later > band").select(
             F.xxhash64("bucket", "_later", "_h").alias("bucket"),
