@@ -111,7 +111,8 @@ def test_fingerprint_rules(json_batch):
     assert fingerprint([{"a": None, "b": "x"}, {"a": 1}]) != base
     assert fingerprint([{"a": None, "b": "x"}, {"a": 1}], ignore_nulls=True) == base
     assert fingerprint([5, {"a": 1, "b": "x"}]) == base
-    assert fingerprint([{"a": 1, "b": "x"}] * 200 + [{"new": 1}]) == base
+    late = [{"a": 1, "b": "x"}] * 200 + [{"new": 1}]
+    assert fingerprint(late) != base and fingerprint(late, leading=200) == base
     # The text that is hashed is ASCII JSON.
     import hashlib
     import json

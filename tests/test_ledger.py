@@ -60,14 +60,17 @@ def test_previous_accepts_collection_names(spark):
     ],
 )
 def test_retention(spark, names, keep, dropped):
-    drops = L.retention_drops(live(spark, *names.split()), live(spark, *keep.split()))
+    rows = [("promoted", name) for name in names.split()]
+    drops = L.retention_drops(
+        live(spark, *names.split()), live(spark, *keep.split()), ledger(spark, *rows)
+    )
     assert sorted(r["version_id"] for r in drops.collect()) == dropped.split()
 
 
 def test_retention_minds_the_dataset(spark):
     both = live(spark, *"abcde").unionAll(
         spark.createDataFrame([("d__x", n) for n in "ab"], "dataset STRING, version_id STRING"))
-    drops = L.retention_drops(both, live(spark, "e", "d"))
+    drops = L.retention_drops(both, live(spark, "e", "d"), ledger(spark, ("promoted", "a")))
     assert {r["dataset"] for r in drops.collect()} == {"d"}
 
 

@@ -167,7 +167,16 @@ class VariantField(Field):
 
     @cached_property
     def as_string(self) -> Column:
-        return F.when(self.present, self.get("string"))
+        """A number with a fraction keeps it ("1.0"), and booleans are "True" and "False": keys of
+        different types stay apart."""
+        plain = self.get("string")
+        whole = (self.type_name == "float") & ~plain.rlike("[^0-9-]")
+        return F.when(
+            self.present,
+            F.when(self.type_name == "bool", F.initcap(plain))
+            .when(whole, F.concat(plain, F.lit(".0")))
+            .otherwise(plain),
+        )
 
 
 def strict_json(text: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 # The fields that hold text, in the order they are joined.
 TEXT_FIELDS = ("title", "description", "content", "text")
 SEARCH_TEXT_SEPARATOR = " | "
-SEARCH_TEXT_CHARS = 4096
 
 # Whitespace as Unicode defines it, in a form every regex engine reads alike.
 WHITESPACE = r"[\s\x0B\p{Z}\x{0085}\x{001C}-\x{001F}]+"
@@ -53,10 +52,10 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | text.rlike(BLANK)
 
 
-def search_text(parts: Sequence[Column]) -> Column:
-    """Join the non-empty parts and keep the first 4096 characters, as the search field is defined."""
-    filled = [F.nullif(part, F.lit("")) for part in parts]
-    return F.substring(F.concat_ws(SEARCH_TEXT_SEPARATOR, *filled), 1, SEARCH_TEXT_CHARS)
+def search_text(parts: Sequence[Column], max_chars: int | None = None) -> Column:
+    """Join the non-empty parts; with ``max_chars``, keep so many characters of the front."""
+    joined = F.concat_ws(SEARCH_TEXT_SEPARATOR, *(F.nullif(part, F.lit("")) for part in parts))
+    return joined if max_chars is None else F.substring(joined, 1, max_chars)
 
 
 def tokens(text: Column) -> Column:

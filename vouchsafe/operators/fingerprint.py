@@ -6,13 +6,11 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouchsafe.functions.hashing import short_sha256
 from vouchsafe.functions.records import TypedField, is_object, json_literal, variant_type_name
 
-# Fixed value: how many leading records the fingerprint looks at, by its definition.
-FINGERPRINT_RECORDS = 200
-
 FIRST_INGEST = "no previous version (first ingest)"
 CHANGED = "schema fingerprint changed"
 STABLE = "schema stable"
@@ -31,16 +29,19 @@ def _hash_of_fields(fields: DataFrame) -> DataFrame:
 
 
 def observed_fields(
-    df: DataFrame, order: list[str], record: str, ignore_nulls: bool = False
+    df: DataFrame, order: list[str], record: str, ignore_nulls: bool = False,
+    leading: int | None = None,
 ) -> DataFrame:
-    """First seen type of each key among the leading records, in input order.
+    """First seen type of each key, in input order; with ``leading`` among so many first records.
 
     Records that are no objects take a place among the leading ones but have no keys.
     """
-    leading = _leading(df, order, FINGERPRINT_RECORDS).select(*order, record)
+    seen = df.select(*order, record)
+    if leading is not None:
+        seen = seen.orderBy(*order).limit(leading)
     place = F.struct(*order)
     entries = (
-        leading.where(is_object(F.col(record)))
+        seen.where(is_object(F.col(record)))
         .select(place.alias("place"), F.col(record).alias("r"))
         .lateralJoin(_variant_entries(df.sparkSession))
         .select("place", "key", variant_type_name(F.col("value")).alias("type"))
@@ -50,52 +51,37 @@ def observed_fields(
     return entries.groupBy("key").agg(F.min_by("type", "place").alias("type"))
 
 
-def _leading(df: DataFrame, order: list[str], count: int) -> DataFrame:
-    """The first ``count`` rows in order.
-
-    Where they end is found from the order columns alone, so that the wide columns
-    are read only near the front.
-    """
-    front = df.select(*order).orderBy(*order).limit(count)
-    last = front.agg(F.max(order[0])).scalar()
-    return df.where(F.col(order[0]) <= last).orderBy(*order).limit(count)
-
-
 def _variant_entries(spark) -> DataFrame:
     return spark.tvf.variant_explode(F.col("r").outer()).select("key", "value")
 
 
 def schema_fingerprint(
-    df: DataFrame, order: list[str], record: str, ignore_nulls: bool = False
+    df: DataFrame, order: list[str], record: str, ignore_nulls: bool = False,
+    leading: int | None = None,
 ) -> DataFrame:
     """One row ``schema_hash`` for JSON records held as VARIANT."""
-    fields = observed_fields(df, order, record, ignore_nulls)
+    fields = observed_fields(df, order, record, ignore_nulls, leading)
     return _hash_of_fields(fields.withColumn("literal", json_literal("key")))
 
 
-def typed_schema_fingerprint(
-    df: DataFrame, order: list[str], ignore_nulls: bool = False
-) -> DataFrame:
-    """One row ``schema_hash`` for a typed table.
+def typed_schema_hash(schema: T.StructType, ignore_nulls: bool = False) -> Column:
+    """The hash of a typed table as an aggregate, so that it joins other aggregates in one pass.
 
-    Every row of a table has every column, so the first row in input order decides.
+    A column has its declared type as soon as one row fills it.
     """
-    names = [name for name in df.columns if not name.startswith("_")]
-    first, schema = _leading(df, order, 1), df.schema
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("key"),
-                F.lit(json.dumps(n)).alias("literal"),
-                TypedField(schema, n).type_name.alias("type"),
-            )
-            for n in names
-        ]
-    )
-    fields = first.select(F.inline(pairs))
-    if ignore_nulls:
-        fields = fields.where(F.col("type") != "NoneType")
-    return _hash_of_fields(fields)
+    parts = []
+    for name in sorted(n for n in schema.names if not n.startswith("_")):
+        field = TypedField(schema, name)
+        filled = F.coalesce(F.bool_or(field.present), F.lit(False))
+        text = F.lit(f"{json.dumps(name)}: \"{field.kind}\"")
+        absent = None if ignore_nulls else f"{json.dumps(name)}: \"NoneType\""
+        parts.append(F.when(filled, text).otherwise(F.lit(absent)))
+    return short_sha256(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+
+
+def typed_schema_fingerprint(df: DataFrame, ignore_nulls: bool = False) -> DataFrame:
+    """One row ``schema_hash`` for a typed table."""
+    return df.agg(typed_schema_hash(df.schema, ignore_nulls).alias("schema_hash"))
 
 
 def has_drifted(previous: Column, current: Column) -> Column:

@@ -62,15 +62,11 @@ def current_versions(versions: DataFrame, transitions: DataFrame) -> DataFrame:
 def list_versions(versions: DataFrame, dataset: str | None = None, limit: int = 50) -> DataFrame:
     """The newest versions; the limit is the size of the list."""
     chosen = versions if dataset is None else versions.where(F.col("dataset") == dataset)
-    return chosen.orderBy(F.desc("created_at"), F.desc("version_id")).limit(
-        min(limit, DEFAULTS.list_limit_max)
-    )
+    return chosen.orderBy(F.desc("created_at"), F.desc("version_id")).limit(limit)
 
 
 def list_promotions(promotions: DataFrame, limit: int = 50) -> DataFrame:
-    return promotions.orderBy(F.desc("decided_at"), F.desc("id")).limit(
-        min(limit, DEFAULTS.list_limit_max)
-    )
+    return promotions.orderBy(F.desc("decided_at"), F.desc("id")).limit(limit)
 
 
 def quality_reports_of(reports: DataFrame, version_id: str | Column, order: list[str]) -> DataFrame:
@@ -86,14 +82,19 @@ def serving_alias(promotions: DataFrame) -> DataFrame:
     )
 
 
-def promotion_history(promotions: DataFrame, limit: int = DEFAULTS.history_limit) -> DataFrame:
-    """Per dataset, its promoted versions from the newest, each at its newest ledger place."""
-    places = (
+def promoted_places(promotions: DataFrame) -> DataFrame:
+    """Every version that was ever promoted, at its newest ledger place."""
+    return (
         promotions.where(F.col("decision") == PROMOTED)
         .groupBy("dataset", "version_id")
         .agg(F.max("id").alias("ledger_id"))
     )
+
+
+def promotion_history(promotions: DataFrame, limit: int = DEFAULTS.history_limit) -> DataFrame:
+    """Per dataset, a list of its last promoted versions; the limit is the size of the list."""
     newest = Window.partitionBy("dataset").orderBy(F.desc("ledger_id"))
+    places = promoted_places(promotions)
     return places.withColumn("position", F.row_number().over(newest)).where(
         F.col("position") <= limit
     )
@@ -105,48 +106,39 @@ def bare_version(dataset: Column, name: Column) -> Column:
     return F.when(F.startswith(name, prefix), F.substr(name, F.length(prefix) + 1)).otherwise(name)
 
 
-def previous_promoted(
-    promotions: DataFrame, current: DataFrame, limit: int = DEFAULTS.history_limit
-) -> DataFrame:
+def previous_promoted(promotions: DataFrame, current: DataFrame) -> DataFrame:
     """Per dataset, the newest promoted version other than ``current (dataset, current)``."""
     exclude = current.select(
         "dataset", bare_version(F.col("dataset"), F.col("current")).alias("excluded")
     )
-    history = promotion_history(promotions, limit)
     return (
-        history.join(exclude, "dataset")
+        promoted_places(promotions)
+        .join(exclude, "dataset")
         .where(~F.col("version_id").eqNullSafe(F.col("excluded")))
         .groupBy("dataset")
-        .agg(F.min_by("version_id", "position").alias("previous_version"))
+        .agg(F.max_by("version_id", "ledger_id").alias("previous_version"))
     )
 
 
-def rollback_targets(
-    promotions: DataFrame, live: DataFrame, limit: int = DEFAULTS.history_limit
-) -> DataFrame:
-    """Per dataset, where a rollback would lead.
+def rollback_targets(promotions: DataFrame, live: DataFrame) -> DataFrame:
+    """Per dataset, where a rollback would lead: the newest version that was promoted before the
+    current one and whose collection still exists.
 
-    From the current version's place in the history one steps to the first older
-    version whose collection still exists. A current version that is not in the
-    history starts the walk at the newest one.
+    If the current version itself was never promoted, every other version counts as older.
     """
+    places = promoted_places(promotions)
     current = serving_alias(promotions).select("dataset", F.col("version_id").alias("current_version"))
-    history = promotion_history(promotions, limit)
-    located = (
-        current.join(
-            history.select("dataset", F.col("version_id").alias("current_version"), "position"),
-            ["dataset", "current_version"],
-            "left",
-        )
-        .withColumnRenamed("position", "current_position")
+    of_current = places.select(
+        "dataset", F.col("version_id").alias("current_version"), F.col("ledger_id").alias("_bound")
     )
+    located = current.join(of_current, ["dataset", "current_version"], "left")
     targets = (
-        history.join(located, "dataset")
-        .where(F.col("position") > F.coalesce("current_position", F.lit(0)))
+        places.join(live.select("dataset", "version_id"), ["dataset", "version_id"], "left_semi")
+        .join(located, "dataset")
+        .where(F.col("_bound").isNull() | (F.col("ledger_id") < F.col("_bound")))
         .where(F.col("version_id") != F.col("current_version"))
-        .join(live.select("dataset", "version_id"), ["dataset", "version_id"], "left_semi")
         .groupBy("dataset")
-        .agg(F.min_by("version_id", "position").alias("target_version"))
+        .agg(F.max_by("version_id", "ledger_id").alias("target_version"))
     )
     return current.join(targets, "dataset", "left").withColumn(
         "decision",
@@ -155,17 +147,22 @@ def rollback_targets(
 
 
 def retention_drops(
-    live: DataFrame, keep: DataFrame, retain: int = DEFAULTS.retain_versions
+    live: DataFrame, keep: DataFrame, promotions: DataFrame, retain: int = DEFAULTS.retain_versions
 ) -> DataFrame:
     """Collections beyond the retention window.
 
-    ``keep (dataset, version_id)`` names what serves now and what served before. Of
-    the other collections the last ``retain`` minus kept by name stay, older ones go.
+    ``keep (dataset, version_id)`` names what serves now and what served before. Of the other
+    collections the last ``retain`` minus kept by promotion stay, older ones go; one that was never
+    promoted counts as oldest.
     """
     kept = keep.where(F.col("version_id").isNotNull()).dropDuplicates(["dataset", "version_id"])
-    candidates = live.join(kept, ["dataset", "version_id"], "left_anti")
+    candidates = live.join(kept, ["dataset", "version_id"], "left_anti").join(
+        promoted_places(promotions), ["dataset", "version_id"], "left"
+    )
     spare = kept.groupBy("dataset").agg((F.lit(retain) - F.count(F.lit(1))).alias("spare"))
-    last = Window.partitionBy("dataset").orderBy(F.desc("version_id"))
+    last = Window.partitionBy("dataset").orderBy(
+        F.desc_nulls_last("ledger_id"), F.desc("version_id")
+    )
     staying = (
         candidates.withColumn("place", F.row_number().over(last))
         .where(F.col("place") <= retain)

@@ -16,6 +16,24 @@ from vouchsafe.functions.vectors import cosine_to, matrix, unit_rows
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def positions(df: DataFrame, order: list[str]) -> tuple[DataFrame, str]:
+    """The rows with a number that is unique in the whole batch and follows its order; and its name.
+
+    One order column is such a number itself. Several name a file or split and a place in it: rows are
+    numbered within each split and splits are placed one after the other, so no task sees
+    more than a split.
+    """
+    if len(order) == 1:
+        return df, order[0]
+    groups, last = order[:-1], order[-1]
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(*groups).orderBy(last)) - 1
+    placed = df.withColumn("_within", within).join(starts, groups)
+    return placed.withColumn("_position", F.col("_start") + F.col("_within")), "_position"
+
+
 def stage_points(embedded: DataFrame, position: str, payload: list[str]) -> DataFrame:
     """Points of a collection: rows with a vector, under their position in the whole batch."""
     return embedded.where(F.col("_vector").isNotNull()).select(
@@ -147,9 +165,5 @@ def present(hits: DataFrame, score: str = "score") -> DataFrame:
     return hits.select(F.round(score, 4).alias(score), *shown)
 
 
-def capped(limit: int, most: int) -> int:
-    return min(limit, most)
-
-
 def collection_name(dataset: Column, version_id: Column) -> Column:
     return F.concat_ws("__", dataset, version_id)

@@ -26,6 +26,7 @@ def ntz(text: str) -> Column:
 
 # Reports are made as of a fixed time; the data ends there.
 LEDGER_AS_OF = "2001-08-01 00:00:00"
+REPORTS_AS_OF = "1998-11-01 00:00:00"
 EVENTS_AS_OF = "2024-01-30 00:00:00"
 
 
@@ -257,11 +258,9 @@ serving AS (
     SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id DESC) AS rn
     FROM promotions WHERE decision IN ('promoted', 'rolled_back')) WHERE rn = 1),
 history AS (
-  SELECT * FROM (
-    SELECT dataset, version_id, max(id) AS ledger_id,
-           row_number() OVER (PARTITION BY dataset ORDER BY max(id) DESC) AS position
-    FROM promotions WHERE decision = 'promoted' GROUP BY dataset, version_id)
-  WHERE position <= 50),
+  SELECT dataset, version_id, max(id) AS ledger_id,
+         row_number() OVER (PARTITION BY dataset ORDER BY max(id) DESC) AS position
+  FROM promotions WHERE decision = 'promoted' GROUP BY dataset, version_id),
 live AS (SELECT dataset, version_id FROM names WHERE balance >= 0)"""
 
 REPORTS_SQL = f"""reports AS (
@@ -300,6 +299,13 @@ ENVELOPES_SQL = f"""envelopes AS (
       WHEN '2-HIGH' THEN '[{{"id": ' || o_orderkey || '}}]' END AS records
   FROM orders)"""
 
+JSON_KEYS_SQL = """json_keys AS (
+  SELECT o_orderkey, CASE o_orderpriority
+    WHEN '2-HIGH' THEN o_custkey || '.0'
+    WHEN '4-NOT SPECIFIED' THEN CASE WHEN o_custkey % 2 = 0 THEN 'True' ELSE 'False' END
+    WHEN '5-LOW' THEN CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'True' END
+    ELSE CAST(o_custkey AS VARCHAR) END AS key FROM orders)"""
+
 LABELLED_SQL = """labelled AS (
   SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
@@ -317,3 +323,18 @@ STEPS_SQL = """steps AS (
       SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS delivery
       FROM events))
   WHERE last_delivery IS NULL OR delivery <= last_delivery)"""
+
+
+def json_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON records whose id is a number, a number with a fraction, a text or a boolean."""
+    key, kind = F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    even = F.col("o_custkey") % 2 == 0
+    text = (
+        F.when(kind == "2-HIGH", F.concat(key, F.lit(".0")))
+        .when(kind == "3-MEDIUM", F.concat(F.lit('"'), key, F.lit('"')))
+        .when(kind == "4-NOT SPECIFIED", F.when(even, "true").otherwise("false"))
+        .when(kind == "5-LOW", F.when(even, '"true"').otherwise('"True"'))
+        .otherwise(key)
+    )
+    record = F.concat(F.lit('{"id": '), text, F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(record).alias("rec"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouchsafe.functions.text import is_blank
 from vouchsafe.operators import contracts as C
 from vouchsafe.operators import gates as G
 from vouchsafe.operators.embedding import HashingEmbedder, coverage, embed
 from vouchsafe.operators.enrichment import enrich_table
-from vouchsafe.operators.fingerprint import has_drifted, typed_schema_fingerprint
+from vouchsafe.operators.fingerprint import has_drifted, typed_schema_fingerprint, typed_schema_hash
 from vouchsafe.plans import bindings as B
 from vouchsafe.plans.registry import query
 from vouchsafe.plans.validation_queries import drift_by_dataset
@@ -65,6 +66,19 @@ def gate_uniqueness(spark, sf_dir):
     return _checked(_measured(lineitem, [], "line"), G.uniqueness_check(BARS.uniqueness, "line"))
 
 
+@query(
+    f"""WITH {B.JSON_KEYS_SQL}, m AS (SELECT count(*) AS n, count(DISTINCT key) AS u FROM json_keys)
+SELECT CAST(2 AS INTEGER) AS ord, 'uniqueness' AS check_name, u / n >= 0.99 AS passed, u / n AS score,
+  CAST(0.99 AS DOUBLE) AS threshold,
+  '{{"unique_keys":' || u || ',"total_records":' || n || ',"records_missing_key":0}}' AS details FROM m"""
+)
+def gate_json_uniqueness(spark, sf_dir):
+    """Keys of several JSON types: numbers, numbers with a fraction, texts and booleans."""
+    records = B.json_keyed(spark, sf_dir)
+    measured = records.agg(*G.measures(C.field_reader(records, "rec"), [], "id"))
+    return _checked(measured, G.uniqueness_check(BARS.uniqueness, "id"))
+
+
 @query(
     """WITH m AS (SELECT avg(CASE WHEN length(text) >= 10 THEN 1.0 ELSE 0.0 END) AS rate FROM documents)
 SELECT CAST(3 AS INTEGER) AS ord, 'validation_pass_rate' AS check_name, rate >= 0.95 AS passed,
@@ -109,30 +123,33 @@ def gate_schema_drift(spark, sf_dir):
 
 
 def document_checks(spark, sf_dir):
-    """All six gates on the valid documents, from one pass over the table."""
+    """All six gates on the valid documents, from one pass over the table.
+
+    Texts must be unique, and in the state before this one n_chars was a text.
+    """
     documents = B.table(spark, sf_dir, "documents")
+    earlier = T.StructType(
+        [T.StructField(f.name, T.StringType()) if f.name == "n_chars" else f for f in documents.schema]
+    )
     judged = C.validate(documents, CONTRACT)
     valid = C.is_valid()
     read = C.field_reader(documents)
     measured = judged.agg(
-        *G.measures(read, list(CONTRACT.required), "doc_id", valid),
+        *G.measures(read, list(CONTRACT.required), "text", valid),
         C.pass_rate().alias("pass_rate"),
         F.coalesce(
             F.avg(F.when(valid, (~is_blank(F.col("text"))).cast("double"))), F.lit(0.0)
         ).alias("coverage"),
-    )
-    # A second delivery of the same table against the first.
-    fingerprint = typed_schema_fingerprint(documents, ["doc_id"])
-    measured = measured.withColumn("current_hash", fingerprint.scalar()).withColumn(
-        "drifted", has_drifted(F.col("current_hash"), fingerprint.scalar())
+        has_drifted(typed_schema_hash(earlier), typed_schema_hash(documents.schema)).alias("drifted"),
     )
     inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), F.col("drifted"))
-    return G.gate_suite(measured, inputs, "doc_id", BARS)
+    return G.gate_suite(measured, inputs, "text", BARS)
 
 
 _SUITE_SQL = """m AS (
   SELECT count(*) AS total, count(*) FILTER (WHERE length(text) >= 10) AS n,
-         count(DISTINCT doc_id) FILTER (WHERE length(text) >= 10) AS u,
+         count(DISTINCT text) FILTER (WHERE length(text) >= 10) AS u,
+         bool_or(n_chars IS NOT NULL) AS counted,
          count(*) FILTER (WHERE length(text) >= 10 AND trim(text) <> '') AS filled_text
   FROM documents),
 checks AS (
@@ -145,7 +162,8 @@ checks AS (
          || ',"total_records":' || n || ',"records_missing_key":0}' FROM m
   UNION ALL SELECT 3, 'validation_pass_rate', n / total >= 0.95, n / total, 0.95, '{}' FROM m
   UNION ALL SELECT 4, 'embedding_coverage', filled_text / n >= 0.98, filled_text / n, 0.98, '{}' FROM m
-  UNION ALL SELECT 5, 'schema_drift', true, 1.0, 1.0, '{}' FROM m)"""
+  UNION ALL SELECT 5, 'schema_drift', NOT counted, CASE WHEN counted THEN 0.0 ELSE 1.0 END, 1.0, '{}'
+  FROM m)"""
 
 
 @query(f"WITH {_SUITE_SQL} SELECT * FROM checks")
@@ -202,16 +220,23 @@ _TRACE_SQL = """WITH ranked AS (
   FROM documents WHERE length(text) >= 10),
 n AS (
   SELECT (SELECT count(*) FROM documents) AS raw, (SELECT count(*) FROM ranked) AS valid,
-         (SELECT count(*) FROM ranked WHERE rn = 1) AS kept)
+         (SELECT count(*) FROM ranked WHERE rn = 1) AS kept,
+         (SELECT avg(CASE WHEN trim(text) <> '' THEN 1.0 ELSE 0.0 END) FROM ranked WHERE rn = 1) AS covered,
+         (SELECT bool_or(n_chars IS NOT NULL) IS DISTINCT FROM
+                 bool_or(n_chars IS NOT NULL) FILTER (WHERE source <> 'src0')
+          OR bool_or(lang IS NOT NULL) IS DISTINCT FROM
+                 bool_or(lang IS NOT NULL) FILTER (WHERE source <> 'src0') FROM documents) AS blank)
 SELECT 'ingest' AS stage, 'raw_records' AS metric, CAST(raw AS DOUBLE) AS value FROM n
 UNION ALL SELECT 'validate', 'valid', valid FROM n
 UNION ALL SELECT 'validate', 'quarantined', raw - valid FROM n
 UNION ALL SELECT 'validate', 'pass_rate', round(valid / raw, 4) FROM n
 UNION ALL SELECT 'enrich', 'output_records', kept FROM n
 UNION ALL SELECT 'enrich', 'duplicates_removed', valid - kept FROM n
-UNION ALL SELECT 'embed', 'coverage', 1.0 FROM n
-UNION ALL SELECT 'gate', 'passed', CASE WHEN valid / raw >= 0.95 THEN 1.0 ELSE 0.0 END FROM n
-UNION ALL SELECT 'promote', 'promoted', CASE WHEN valid / raw >= 0.95 THEN 1.0 ELSE 0.0 END FROM n"""
+UNION ALL SELECT 'validate', 'drifted', CASE WHEN blank THEN 1.0 ELSE 0.0 END FROM n
+UNION ALL SELECT 'embed', 'coverage', covered FROM n
+UNION ALL SELECT 'gate', 'passed', CASE WHEN valid / raw >= 0.95 AND NOT blank THEN 1.0 ELSE 0.0 END FROM n
+UNION ALL SELECT 'promote', 'promoted', CASE WHEN valid / raw >= 0.95 AND NOT blank THEN 1.0 ELSE 0.0 END
+FROM n"""
 
 
 @query(_TRACE_SQL)
@@ -223,13 +248,16 @@ def lifecycle_trace(spark, sf_dir):
         C.valid_records(judged), "v1", F.lit("2024-01-01").cast("timestamp"), "id", ["doc_id"]
     )
     embedded = embed(enriched, HashingEmbedder())
+    # The earlier state of the table lacked one source.
+    now, earlier = documents, documents.where("source <> 'src0'")
+    drifted = has_drifted(typed_schema_fingerprint(earlier).scalar(), typed_schema_fingerprint(now).scalar())
     summary = C.validation_summary(judged)
     before = summary.select(F.struct(*summary.columns)).scalar()
     measured = embedded.agg(
         *G.measures(C.field_reader(embedded), list(CONTRACT.required), "id"),
         coverage().alias("coverage"),
-    ).withColumn("before", before).select("*", "before.*")
-    inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), F.lit(False))
+    ).withColumn("before", before).select("*", "before.*").withColumn("drifted", drifted)
+    inputs = G.GateInputs(F.col("pass_rate"), F.col("coverage"), F.col("drifted"))
     checks = F.array(*G.gate_checks(inputs, "id", BARS))
     passed = F.forall(checks, lambda c: c["passed"])
     rows = (
@@ -237,6 +265,7 @@ def lifecycle_trace(spark, sf_dir):
         ("validate", "valid", F.col("valid")),
         ("validate", "quarantined", F.col("quarantined")),
         ("validate", "pass_rate", F.round("pass_rate", 4)),
+        ("validate", "drifted", F.col("drifted").cast("int")),
         ("enrich", "output_records", F.col("rows")),
         ("enrich", "duplicates_removed", F.col("valid") - F.col("rows")),
         ("embed", "coverage", F.col("coverage")),

@@ -42,7 +42,7 @@ def promotion_decisions(spark, sf_dir):
     return L.decisions(verdicts, L.serving_alias(B.promotions(spark, sf_dir)))
 
 
-@query(f"WITH {B.PROMOTIONS_SQL} SELECT dataset, version_id, ledger_id, position FROM history")
+@query(f"WITH {B.PROMOTIONS_SQL} SELECT dataset, version_id, ledger_id, position FROM history WHERE position <= 50")
 def promotion_history(spark, sf_dir):
     history = L.promotion_history(B.promotions(spark, sf_dir))
     return history.withColumn("position", F.col("position").cast("bigint"))
@@ -89,9 +89,11 @@ def rollback_target(spark, sf_dir):
   FROM history h JOIN serving s USING (dataset) WHERE h.version_id <> s.version_id GROUP BY 1),
 keep AS (SELECT dataset, version_id FROM serving UNION SELECT dataset, version_id FROM previous),
 candidates AS (
-  SELECT l.*, row_number() OVER (PARTITION BY dataset ORDER BY version_id) AS rn,
+  SELECT l.*, row_number() OVER (
+           PARTITION BY dataset ORDER BY ledger_id ASC NULLS FIRST, version_id) AS rn,
          count(*) OVER (PARTITION BY dataset) AS n
-  FROM live l ANTI JOIN keep USING (dataset, version_id))
+  FROM (SELECT live.*, h.ledger_id FROM live LEFT JOIN history h USING (dataset, version_id)) l
+  ANTI JOIN keep USING (dataset, version_id))
 SELECT c.dataset, c.version_id FROM candidates c
 JOIN (SELECT dataset, count(*) AS k FROM keep GROUP BY 1) USING (dataset)
 WHERE rn <= greatest(0, n - (3 - k))"""
@@ -102,7 +104,9 @@ def retention_drops(spark, sf_dir):
     previous = L.previous_promoted(
         promotions, serving.withColumnRenamed("version_id", "current")
     ).withColumnRenamed("previous_version", "version_id")
-    return L.retention_drops(B.live_collections(spark, sf_dir), serving.unionByName(previous))
+    return L.retention_drops(
+        B.live_collections(spark, sf_dir), serving.unionByName(previous), promotions
+    )
 
 
 @query(
@@ -246,10 +250,11 @@ def versions_by_status(spark, sf_dir):
 @query(
     f"""WITH {B.REPORTS_SQL}
 SELECT check_name, round(avg(CASE WHEN passed THEN 1 ELSE 0 END), 3) AS pass_rate, count(*) AS runs
-FROM reports WHERE {_last('created_at', 168)} GROUP BY 1"""
+FROM reports WHERE created_at > TIMESTAMP '{B.REPORTS_AS_OF}' - INTERVAL 168 HOUR
+  AND created_at <= TIMESTAMP '{B.REPORTS_AS_OF}' GROUP BY 1"""
 )
 def gate_pass_by_check(spark, sf_dir):
-    return A.pass_rate_by_check(B.reports(spark, sf_dir), B.ntz(B.LEDGER_AS_OF))
+    return A.pass_rate_by_check(B.reports(spark, sf_dir), B.ntz(B.REPORTS_AS_OF))
 
 
 @query(

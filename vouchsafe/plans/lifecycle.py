@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from vouchsafe import model
 from vouchsafe.functions.text import TEXT_FIELDS
-from vouchsafe.functions.vectors import vector_of_text
 from vouchsafe.operators import contracts as C
 from vouchsafe.operators import embedding as M
 from vouchsafe.operators import enrichment as E
@@ -124,8 +123,16 @@ class GovernancePlane:
         version_id: str | None = None,
         source_uri: str = "",
     ) -> Run:
+        """Take a batch through all stages to a decision.
+
+        A version is decided once. Running a decided one again returns what the ledger holds
+        and changes nothing: not the statuses, not the reports, and no collection is dropped.
+        """
         version_id = version_id or model.new_version_id(dataset)
         run = Run(version_id, dataset, trigger)
+        decided = self._decided(version_id)
+        if decided:
+            return self._recorded(run, decided)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         self._register(run, source_uri, now)
 
@@ -143,6 +150,36 @@ class GovernancePlane:
         self.zones.write_reports(version_id, run.reports)
         return run
 
+    def _decided(self, version_id: str):
+        """The ledger's first decision on a version, if there is one."""
+        return (
+            self.promotions()
+            .where(
+                (F.col("version_id") == version_id)
+                & F.col("decision").isin(model.PROMOTED, model.REJECTED)
+            )
+            .orderBy("id")
+            .first()
+        )
+
+    def _recorded(self, run: Run, decided) -> Run:
+        """The outcome of a decided version, from the ledger.
+
+        A run that was cut short right after its ledger row left the version's status behind;
+        only that is made good.
+        """
+        run.decision = decided["decision"]
+        run.passed = run.decision == model.PROMOTED
+        run.serving = self.serving(run.dataset)
+        status = self.versions().where(F.col("version_id") == run.version_id).first()
+        if status and status["status"] not in model.TERMINAL_STATUSES:
+            self._status(run.version_id, {"status": run.decision})
+        run.note(
+            "promote", "recorded", decision=run.decision, now_serving=run.serving,
+            previous=decided["from_target"],
+        )
+        return run
+
     def _register(self, run: Run, source_uri: str, now: datetime) -> None:
         row = {
             "dataset": run.dataset, "version_id": run.version_id, "source_uri": source_uri,
@@ -168,7 +205,7 @@ class GovernancePlane:
         if batch.record:
             fingerprint = P.schema_fingerprint(validated, order, batch.record)
         else:
-            fingerprint = P.typed_schema_fingerprint(validated.drop(C.REASONS), order)
+            fingerprint = P.typed_schema_fingerprint(validated.drop(C.REASONS))
         row = fingerprint.first()
         current = row["schema_hash"]
         versions = self.versions().where(F.col("dataset") == run.dataset)
@@ -278,28 +315,29 @@ class GovernancePlane:
         dataset, version_id = run.dataset, run.version_id
         if run.passed:
             # Without the ledger row below a collection is never served.
-            position = batch.order[-1]
             payload = [c for c in embedded.columns if c not in ("_vector", "_dedup_key")]
-            points = S.stage_points(embedded, position, payload).withColumn(
+            placed, position = S.positions(embedded, list(batch.order))
+            points = S.stage_points(placed, position, payload).withColumn(
                 "vector", F.col("vector").cast("array<float>")
             )
             self.zones.write_collection(dataset, version_id, points)
         with self.zones.lock:
-            decided = self.promotions().where(
-                (F.col("version_id") == version_id)
-                & F.col("decision").isin(model.PROMOTED, model.REJECTED)
-            ).first()
-            previous = decided["from_target"] if decided else self.serving(dataset)
+            decided = self._decided(version_id)
+            if decided:  # by another run of the same version, meanwhile
+                self._recorded(run, decided)
+                return
+            previous = self.serving(dataset)
             reason = (
                 L.ALL_PASSED if run.passed
                 else "failed gates: " + ", ".join(verdict["failed_checks"])
             )
             run.decision = model.PROMOTED if run.passed else model.REJECTED
-            if not decided:
-                self._append_decision(
-                    dataset, version_id, run.decision, previous,
-                    version_id if run.passed else None, reason, verdict["gate_summary"],
-                )
+            self._append_decision(
+                dataset, version_id, run.decision, previous,
+                version_id if run.passed else None, reason, verdict["gate_summary"],
+            )
+            if run.passed:
+                self.apply_retention(dataset, previous)
         self._status(version_id, {"status": run.decision})
         run.serving = self.serving(dataset)
         metrics = {
@@ -308,8 +346,6 @@ class GovernancePlane:
         }
         run.reports["promotion_decision"] = metrics
         run.note("promote", "done" if run.passed else "skipped", **metrics)
-        if run.passed:
-            self.apply_retention(dataset, version_id, previous)
 
     def _append_decision(self, dataset, version_id, decision, source, target, reason, summary):
         now = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -324,13 +360,19 @@ class GovernancePlane:
             ],
         )
 
-    def apply_retention(self, dataset: str, current: str, previous: str | None) -> list[str]:
-        """Drop collections beyond the retention window and name them."""
-        kept = [{"dataset": dataset, "version_id": v} for v in (current, previous)]
+    def apply_retention(self, dataset: str, previous: str | None = None) -> list[str]:
+        """Drop collections beyond the retention window and name them.
+
+        What serves now always stays, whoever asks, and so does ``previous``. Collections
+        without a promotion belong to runs that are not decided yet and are left alone.
+        """
+        mine = self.promotions().where(F.col("dataset") == dataset)
+        kept = [{"dataset": dataset, "version_id": v} for v in (self.serving(dataset), previous)]
         keep = small_frame(self.spark, kept, "dataset STRING, version_id STRING")
-        drops = L.retention_drops(
-            self.zones.live_collections(dataset), keep, self.settings.retain_versions
+        live = self.zones.live_collections(dataset).join(
+            L.promoted_places(mine), ["dataset", "version_id"], "left_semi"
         )
+        drops = L.retention_drops(live, keep, mine, self.settings.retain_versions)
         names = sorted(row["version_id"] for row in drops.collect())
         for name in names:
             self.zones.drop_collection(dataset, name)
@@ -342,9 +384,7 @@ class GovernancePlane:
         """Serve the version promoted before the current one, if its collection still exists."""
         with self.zones.lock:
             mine = self.promotions().where(F.col("dataset") == dataset)
-            found = L.rollback_targets(
-                mine, self.zones.live_collections(dataset), self.settings.history_limit
-            ).first()
+            found = L.rollback_targets(mine, self.zones.live_collections(dataset)).first()
             if not found or not found["target_version"]:
                 return {"decision": model.ROLLBACK_FAILED, "reason": L.NO_LIVE_PREVIOUS}
             left, target = found["current_version"], found["target_version"]
@@ -359,10 +399,11 @@ class GovernancePlane:
         serving = self.serving(dataset)
         if serving is None:
             return None
-        provider = getattr(self.embedder, "provider", "blake2b")
-        vector = vector_of_text(text, self.embedder.dim, provider)
+        # The query goes through the embedder that made the points.
+        one = small_frame(self.spark, [{"text": text}], "text STRING")
+        vector = list(one.select(self.embedder.vector(F.col("text"))).first()[0])
         points = self.zones.collection(dataset, serving)
-        hits = S.search(points, vector, S.capped(limit, self.settings.search_limit_max))
+        hits = S.search(points, vector, limit)
         return S.present(hits).withColumn("version_id", F.lit(serving))
 
     # ------------------------------------------------------------ raw zone
@@ -372,22 +413,21 @@ class GovernancePlane:
     ) -> Run:
         """Publish one raw JSON or JSON-lines file.
 
-        A file within the upload limit is parsed as a whole. A larger one must be JSON
-        lines and is read in splits.
+        The name decides how it is read, whatever its size: ``.jsonl`` and ``.ndjson`` files are
+        lines and are read in splits; any other file is one document, or lines, in one row.
         """
-        length = list_objects(self.spark, path).agg(F.sum("length")).first()[0] or 0
-        if length > self.settings.max_upload_bytes:
+        if path.lower().endswith((".jsonl", ".ndjson")):
             records = J.read_json_lines(self.spark, path)
-            if not records.where(F.col("rec").isNull()).isEmpty():
-                raise ValueError("invalid JSON on a line of a large file")
-            return self.run(
-                dataset, Batch(records, ("_block", "_pos")), trigger, version_id, path
-            )
+            bad = J.first_bad_line(self.spark, path)
+            if bad is not None:
+                raise ValueError(f"{J.BAD_LINE}{bad}")
+            order = ("path", "_block", "_pos")
+            return self.run(dataset, Batch(records, order), trigger, version_id, path)
         records, rejected = J.read_json_records(self.spark, path)
         refusal = rejected.first()
         if refusal:
             raise ValueError(refusal["error"])
-        return self.run(dataset, Batch(records), trigger, version_id, path)
+        return self.run(dataset, Batch(records, ("path", "_pos")), trigger, version_id, path)
 
     def latest_raw(self, dataset: str) -> str | None:
         """The newest raw object of a dataset."""

@@ -364,7 +364,18 @@ def content_hash(spark, sf_dir):
     return documents.select("doc_id", hashing.content_hash(documents.columns).alias("content_hash"))
 
 
-_SEARCH_SQL = f"substr(concat_ws(' | ', nullif(source, ''), nullif({_NORMAL_SQL}, '')), 1, 4096)"
+@query(
+    f"""WITH {B.JSON_KEYS_SQL} SELECT key, min(o_orderkey) AS o_orderkey FROM json_keys GROUP BY 1"""
+)
+def dedup_json_keep_first(spark, sf_dir):
+    """The first record of each JSON key; keys of different types stay apart."""
+    records = B.json_keyed(spark, sf_dir)
+    key = C.field_reader(records, "rec")("id").as_string
+    keyed = records.select("o_orderkey", E.dedup_key(key, F.lit("")).alias("key"))
+    return E.keep_first(keyed, ["key"], ["o_orderkey"])
+
+
+_SEARCH_SQL = f"concat_ws(' | ', nullif(source, ''), nullif({_NORMAL_SQL}, ''))"
 
 
 @query(f"SELECT doc_id, {_SEARCH_SQL} AS search_text FROM documents")
@@ -377,7 +388,7 @@ def search_text(spark, sf_dir):
 
 @query(
     f"""SELECT doc_id, 'v1' AS version_id, {_HASH_SQL} AS content_hash,
-  length(substr(coalesce({_NORMAL_SQL}, ''), 1, 4096)) AS text_length, CAST(5 AS BIGINT) AS field_count
+  length(coalesce({_NORMAL_SQL}, '')) AS text_length, CAST(5 AS BIGINT) AS field_count
 FROM documents"""
 )
 def lineage_meta(spark, sf_dir):

@@ -32,6 +32,4 @@ class Settings:
     relay_batch_size: int = _from_env("RELAY_BATCH_SIZE", 50, int)
     retain_versions: int = 3
     history_limit: int = 50
-    search_limit_max: int = 25
-    list_limit_max: int = 200
     max_upload_bytes: int = 50 * 1024 * 1024

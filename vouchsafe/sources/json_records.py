@@ -93,6 +93,27 @@ def read_json_records(spark: SparkSession, *paths: str) -> tuple[DataFrame, Data
     return records_of(parsed, ["path"]), rejects_of(parsed, ["path"])
 
 
+def first_bad_line(spark: SparkSession, *paths: str) -> int | None:
+    """The number of the first line that is no JSON value, in the first file that has one."""
+    lines = spark.read.text(list(paths)).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("pos"),
+        ).alias("at"),
+        F.col("value"),
+    )
+    wrong = ~is_blank(F.col("value")) & strict_json(F.col("value")).isNull()
+    bad = lines.where(wrong).agg(F.min("at").alias("at")).first()["at"]
+    if bad is None:
+        return None
+    up_to = (F.col("at.path") == bad["path"]) & (
+        (F.col("at.block") < bad["block"])
+        | ((F.col("at.block") == bad["block"]) & (F.col("at.pos") <= bad["pos"]))
+    )
+    return lines.where(up_to).count()
+
+
 def read_json_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Large JSON-lines files, read in splits: ``(path, _block, _pos, rec)``.
 

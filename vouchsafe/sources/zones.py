@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import threading
+from collections import defaultdict
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,18 @@ from vouchsafe import model
 from vouchsafe.session import small_frame
 
 
+_LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
 @dataclass
 class Zones:
     spark: SparkSession
     base: str
-    # Ledger ids are handed out by one writer.
-    lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
+
+    @property
+    def lock(self) -> threading.RLock:
+        """Ledger ids are handed out one at a time: all planes on a base folder share its lock."""
+        return _LOCKS[self.base.rstrip("/")]
 
     # ------------------------------------------------------------ files
 

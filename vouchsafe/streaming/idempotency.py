@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,14 +68,16 @@ def publish_stream(
 
     The lock runs in event time from the accepted event. State is cleaned up in
     processing time, by default after twice the lock, so that a query that lags
-    behind its events by less than a lock still finds it. Events without a key
-    must be kept out; they are never duplicates.
+    behind its events by less than a lock still finds it. Events without a key are
+    never duplicates and pass as they are.
     """
     moment = F.unix_micros(F.col(at).cast("timestamp"))
     columns = [*keys, *[c for c in events.columns if c not in keys]]
     ordered = events.select(*columns)
-    return (
-        ordered.withColumn(MOMENT, moment)
+    keyed = functools.reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    accepted = (
+        ordered.where(keyed)
+        .withColumn(MOMENT, moment)
         .groupBy(*keys)
         .transformWithStateInPandas(
             FirstWins(ttl_seconds, state_ttl_seconds or 2 * ttl_seconds, event_id),
@@ -83,6 +86,7 @@ def publish_stream(
             "ProcessingTime",
         )
     )
+    return accepted.unionByName(ordered.where(~keyed))
 
 
 def publish_stream_windowed(
