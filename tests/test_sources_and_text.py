@@ -86,6 +86,12 @@ def test_files(spark, tmp_path):
     listed = M.list_objects(spark, str(tmp_path)).withColumn("d", F.lit("products"))
     assert listed.count() == 3
     assert M.latest_per_group(listed, ["d"], "path", "modified").count() == 1
+    small = {r["file_name"]: r for r in M.read_uploads(spark, str(folder), max_bytes=20).collect()}
+    assert {n: r["content"] is None for n, r in small.items()} == {n: r["size"] > 20 for n, r in small.items()}
+    assert any(r["content"] is None for r in small.values())
+    assert M.landing_manifest(M.read_uploads(spark, str(folder), max_bytes=20), 20).where(
+        F.col("reject_reason") == M.too_large(20)
+    ).count() == sum(r["size"] > 20 for r in small.values())
 
 
 def test_manifest_limits(spark):
@@ -94,7 +100,7 @@ def test_manifest_limits(spark):
     found = {(r["dataset"], r["file_name"], r["size"]): r["reject_reason"] for r in M.landing_manifest(df, 5).collect()}
     assert found == {
         ("ok", "a.json", 3): None, ("Bad!", "a.json", 3): M.BAD_DATASET,
-        ("ok", "a.json", 2): M.NOT_UTF8, ("ok", "b.json", 9): M.TOO_LARGE,
+        ("ok", "a.json", 2): M.NOT_UTF8, ("ok", "b.json", 9): "file exceeds 5 byte limit",
     }
 
 

@@ -72,13 +72,14 @@ def sparse_embedding(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     digest = F.sha2(F.col("token"), 256)
     slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     even = F.instr(F.lit("02468ace"), F.substring(digest, 10, 1)) > 0
+    # a token is hashed once per text, however often it stands there
     sums = (
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(tokens(F.col(text))).alias("token"))
-        .select(key, (slot % dim).alias("idx"), F.when(even, 1).otherwise(-1).alias("sign"))
+        token_counts(df, key, text)
+        .select(
+            key, (slot % dim).alias("idx"), F.when(even, F.col("tf")).otherwise(-F.col("tf")).alias("s")
+        )
         .groupBy(key, "idx")
-        .agg(F.sum("sign").alias("tf"))
+        .agg(F.sum("s").alias("tf"))
         .where("tf <> 0")
     )
     damped = F.signum("tf") * F.log1p(F.abs("tf"))

@@ -52,13 +52,20 @@ def search(
     id_col: str = "id",
     vector_col: str = "vector",
 ) -> DataFrame:
-    """The ``k`` best points for one vector. Each task keeps its own ``k`` best."""
-    shown = [c for c in points.columns if c != vector_col]
-    return (
-        points.select(*shown, cosine_to(F.col(vector_col), query).alias("score"))
+    """The ``k`` best points for one vector. Each task keeps its own ``k`` best.
+
+    Only ids and vectors are scored; the other columns are looked up for the ``k`` found, whose
+    number bounds what is broadcast.
+    """
+    shown = [c for c in points.columns if c not in (vector_col, id_col)]
+    best = (
+        points.select(id_col, cosine_to(F.col(vector_col), query).alias("score"))
         .orderBy(F.desc("score"), F.asc(id_col))
         .limit(k)
     )
+    if shown:
+        best = points.select(id_col, *shown).join(F.broadcast(best), id_col)
+    return best.select(id_col, *shown, "score").orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
 def search_many(

@@ -13,26 +13,43 @@ from vouchsafe.sources.json_records import parse_payloads
 # The ways an upload can be refused.
 BAD_DATASET = "invalid dataset"
 BAD_SUFFIX = "only .json / .jsonl files are accepted"
-TOO_LARGE = "file exceeds 50MB limit"
 NOT_UTF8 = "file is not valid UTF-8 text"
 BAD_JSON = "invalid JSON payload: "
 
 
-def read_uploads(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw files as ``(dataset, file_name, content, path, modified)``; the folder names the dataset."""
+def too_large(max_bytes: int) -> str:
+    mega = 1024 * 1024
+    shown = f"{max_bytes // mega}MB" if max_bytes % mega == 0 else f"{max_bytes} byte"
+    return f"file exceeds {shown} limit"
+
+
+def read_uploads(
+    spark: SparkSession, *paths: str, max_bytes: int = Settings().max_upload_bytes
+) -> DataFrame:
+    """Raw files as ``(dataset, file_name, content, size, path, modified)``; the folder names the dataset.
+
+    The content of a file beyond the limit is not read: its row has the size alone.
+    """
+    files = spark.read.format("binaryFile").load(list(paths))
+    nothing = F.lit(None).cast("binary")
+    # the reader skips the content of files that the filter on their length drops
+    rows = files.where(F.col("length") <= max_bytes).unionByName(
+        files.where(F.col("length") > max_bytes).withColumn("content", nothing)
+    )
     parts = F.split("path", "/")
-    return spark.read.format("binaryFile").load(list(paths)).select(
+    return rows.select(
         F.element_at(parts, -2).alias("dataset"),
         F.element_at(parts, -1).alias("file_name"),
         "content",
+        F.col("length").alias("size"),
         "path",
         F.col("modificationTime").alias("modified"),
     )
 
 
 def landing_manifest(uploads: DataFrame, max_bytes: int = Settings().max_upload_bytes) -> DataFrame:
-    """Judge uploads ``(dataset, file_name, content BINARY)`` and name their objects."""
-    size = F.octet_length("content")
+    """Judge uploads ``(dataset, file_name, content BINARY[, size])`` and name their objects."""
+    size = F.col("size") if "size" in uploads.columns else F.octet_length("content")
     is_text = F.is_valid_utf8(F.col("content").cast("string"))
     sized = (
         uploads.withColumn("size", size.cast("bigint"))
@@ -45,7 +62,7 @@ def landing_manifest(uploads: DataFrame, max_bytes: int = Settings().max_upload_
             "_refused",
             F.when(~is_identifier(F.col("dataset")), BAD_DATASET)
             .when(~F.coalesce(F.col("file_name").rlike(r"\.jsonl?\z"), F.lit(False)), BAD_SUFFIX)
-            .when(F.col("size") > max_bytes, TOO_LARGE)
+            .when(F.col("size") > max_bytes, too_large(max_bytes))
             .when(~is_text, NOT_UTF8),
         )
         # Only what is still acceptable is parsed.
