@@ -34,6 +34,69 @@ def query(sql: str | None = None):
     return register
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words_sql(text: str) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"regexp_extract_all({_LOWER.format(text)}, '{pattern}')"
+
+
+CONTAMINATION_SQL = f"""WITH items AS (
+  SELECT *, least(13, len(w)) AS n
+  FROM (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql("text")} AS w FROM benchmark) WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item, n, list_slice(w, i, i + n - 1) AS span
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
+doc_windows AS (
+  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS span
+  FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+found AS (SELECT doc_id, n, i, item FROM doc_windows JOIN item_windows USING (n, span)),
+hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY 1),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_join.PHRASES)
+    templates = ", ".join(f"('{label}', '{t}')" for label, t in license_join.TEMPLATES)
+    return f"""WITH docs AS (SELECT doc_id, text, {_words_sql("text")} AS w FROM documents),
+phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {phrases}) t(phrase, label)),
+places AS (
+  SELECT doc_id, i - 1 AS place, label
+  FROM (SELECT d.doc_id, d.w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs d, phrases
+        WHERE len(w) >= len(p) AND list_has_all(w, p))
+  WHERE list_slice(w, i, i + len(p) - 1) = p),
+templates AS (
+  SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {templates}) v(label, words)),
+blocks AS (
+  SELECT doc_id, list_distinct({_words_sql("line")}) AS b
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+shares AS (
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+  WHERE len(list_intersect(b, t)) >= ceil({license_join.THRESHOLD} * len(t) - 1e-9)),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
+more AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+    SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM shares) GROUP BY 1),
+best AS (SELECT doc_id, max(share) AS share FROM shares GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,7 +165,7 @@ def op7_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", *(f"{column}.{c}" for c in wanted.split()))
 
 
-@query()
+@query(CONTAMINATION_SQL)
 def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -115,7 +178,7 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-@query()
+@query(_license_sql())
 def op9_set_similarity_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_join.scanned(table(spark, sf_dir, "documents"))
     return found.select(
