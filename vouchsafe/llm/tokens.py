@@ -16,8 +16,9 @@ import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of the table of known chunks in one Python worker; when full it starts anew.
-TABLE_ENTRIES = 400_000
+#: Entries of the table of known chunks in one Python worker. When it is full it becomes the older
+#: table, from which chunks that are met again move over, and the one before that goes.
+TABLE_ENTRIES = 500_000
 #: Chunks up to this many bytes are kept; longer ones are encoded each time.
 TABLE_CHUNK = 64
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -48,6 +49,7 @@ class Encoder:
         assert len(mark) == 1
         self.mark = mark[0]
         self.table: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, chunk: bytes) -> bytes:
         ids = self.library.encode(chunk.decode(), add_special_tokens=False).ids
@@ -71,12 +73,20 @@ class Encoder:
 
     def _look_up(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Bring chunks into the table; returns those that do not go there."""
+        table, older = self.table, self.older
         long = {}
         plain, other, derived = set(), set(), []
-        table = self.table
-        if len(table) + len(chunks) > TABLE_ENTRIES:
-            table.clear()
         for chunk in chunks:
+            ids = older.get(chunk)
+            if ids is not None:
+                table[chunk] = ids
+                continue
+            if chunk.isalpha() and len(chunk) <= TABLE_CHUNK:  # letters a-z and A-Z only
+                key = chunk.lower()
+                if key != chunk:
+                    derived.append((chunk, key, b""))
+                plain.add(key)
+                continue
             if len(chunk) > TABLE_CHUNK or b"\x00" in chunk or b"<|" in chunk:
                 long[chunk] = self._whole(chunk)
                 continue
@@ -86,12 +96,18 @@ class Encoder:
                 key, tail = key[:-1], key[-1:]
             if _LATIN.fullmatch(key):
                 key = key.lower() if key.isascii() else key.decode().lower().encode()
+                plain.add(key)
+            else:
+                other.add(key)
             if key is not chunk:
                 derived.append((chunk, key, tail))
-            if key not in table:
-                (plain if _PLAIN.fullmatch(key) else other).add(key)
-            if tail and tail not in table:
+            if tail:
                 other.add(tail)
+        for keys in (plain, other):
+            for key in [k for k in keys if k in table or k in older]:
+                if key not in table:
+                    table[key] = older[key]
+                keys.discard(key)
         self._learn(self.words, list(plain))
         self._learn(self.library, list(other))
         for chunk, key, tail in derived:
@@ -101,18 +117,18 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
         unseen = set()
-        known = self.table
         for p in parts:
             unseen.update(p)
-        long = {}
-        if len(unseen) > TABLE_ENTRIES // 2:  # one giant text: in slices, so the table stays small
+        if len(unseen) > TABLE_ENTRIES // 2:  # giant texts: in slices, so the table stays small
             return [self._giant(p) for p in parts]
-        missing = unseen.difference(known)
+        missing = unseen.difference(self.table)
+        long = {}
         if missing:
-            if len(known) + len(missing) > TABLE_ENTRIES:
-                known.clear()
+            if len(self.table) + len(missing) > TABLE_ENTRIES:
+                self.older, self.table = self.table, {}
                 missing = unseen
             long = self._look_up(missing)
+        known = self.table
         if long:
             return [b"".join([known[c] if c in known else long[c] for c in p]) for p in parts]
         get = known.__getitem__
