@@ -8,9 +8,9 @@ their shingle counts, which does not depend on scale and is the plain Jaccard si
 shingle repeats.
 
 Bands of registers make candidates. In a bucket (texts equal in one band) all are compared with one of
-them, its centre, never with each other; each bucket draws its own. Where some member is not close enough to the centre, those
-which can still be close to it are dealt anew by the bucket and each later band, and there compared with
-a few centres; that repeats until what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
+them, its centre, never with each other: with the member that shares buckets with the most texts. Where some member is not close enough to the centre, those
+which can still be close to it are dealt anew by the bucket and a third of the later bands, and there compared
+with two centres; that repeats until what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
 member that is too far from the centre for that is left out without loss. Candidates are verified by
 their exact similarity, and linked texts form classes.
 
@@ -191,11 +191,15 @@ def _sets(column: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def _centred(members: DataFrame, centres: int) -> DataFrame:
     """Members of buckets with company, compared with their bucket's centres.
 
-    A bucket's centres are its first members in an order of its own, so a text that is in many
-    buckets meets many different centres. (bucket, band, node, centre, place, complete): ``place``
-    numbers the centres; ``complete`` says that the member has been compared with all of its bucket.
+    A bucket's centres are its members of the greatest ``weight``, the number of texts that share
+    a bucket with them: of a text and its changed copies that is the text itself, which is the most
+    alike to all. Equal weights stand in an order that each bucket draws. (bucket, band, node,
+    centre, place, complete): ``place`` numbers the centres; ``complete`` says that the member has
+    been compared with all of its bucket.
     """
-    ranked = F.struct(F.xxhash64("bucket", "node").alias("r"), F.col("node").alias("c"))
+    ranked = F.struct(
+        (-F.col("weight")).alias("w"), F.xxhash64("bucket", "node").alias("r"), F.col("node").alias("c")
+    )
     if centres == 1:
         chosen = members.groupBy("bucket").agg(
             F.array(F.min(ranked)).alias("_centres"), F.count("*").alias("_n")
@@ -217,7 +221,10 @@ def _centred(members: DataFrame, centres: int) -> DataFrame:
 
 
 #: How many centres a bucket has when it is dealt anew; buckets of one more are then complete.
-LATER_CENTRES = 6
+LATER_CENTRES = 2
+#: Of the later bands one in so many deals a bucket anew: texts as alike as the threshold agree in six
+#: or seven of the sixteen bands, so they meet again in several.
+THIRD = 3
 
 
 def roots_of(
@@ -227,7 +234,12 @@ def roots_of(
     numbered = classes.where("bands IS NOT NULL").select(
         "node", F.posexplode("bands").alias("band", "_h")
     )
-    members = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "band", "node")
+    every = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "band", "node")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    met = settle(every.join(shared, "bucket"), "met")  # most texts share no bucket
+    weights = settle(met.groupBy("node").agg(F.sum("_n").alias("weight")), "weights")
+    members = met.drop("_n").join(weights, "node")
+    numbered = numbered.join(weights, "node")
     texts = known = roots = None
     while True:
         dealt = settle(
@@ -289,10 +301,10 @@ def roots_of(
         )
         if left.isEmpty():
             return roots
-        later = numbered.select("node", F.col("band").alias("_later"), "_h")
-        members = left.join(later, "node").where("_later > band").select(
+        later = numbered.select("node", "weight", F.col("band").alias("_later"), "_h")
+        members = left.join(later, "node").where(f"_later > band AND (_later + band) % {THIRD} = 0").select(
             F.xxhash64("bucket", "_later", "_h").alias("bucket"),
-            F.col("_later").alias("band"), "node",
+            F.col("_later").alias("band"), "node", "weight",
         )
 
 
