@@ -21,14 +21,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str = "settled") -> DataFrame:
+def settle(df: DataFrame, what: str = "settled", compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later uses read the file instead of computing again, and a lost executor costs
     only its tasks: the table needs no lineage.
     """
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -90,7 +90,8 @@ def numbered(cut: DataFrame) -> tuple[DataFrame, int]:
         .select("_task", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_in"))
         .join(starts, "_group").select("_task", (F.col("_start") + F.col("_in")).alias("_first"))
     )
-    return cut.join(firsts, "_task"), total
+    # Two numbers for each task of one stage: far less than the driver itself keeps of a task.
+    return cut.join(F.broadcast(firsts), "_task"), total
 
 
 def write_shards(
@@ -104,7 +105,7 @@ def write_shards(
     """
     spark = docs.sparkSession
     stride = length * np.dtype(dtype).itemsize
-    cut = settle(_sequences(docs, id_column, text_column, length, dtype, pad), "sequences")
+    cut = settle(_sequences(docs, id_column, text_column, length, dtype, pad), "sequences", "zstd")
     table, total = numbered(cut)
 
     def give_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def write_shards(
         write,
         "shard bigint, first_slot bigint, sequences bigint, stride bigint, payload binary,"
         f" index array<struct<{inner}>>",
-    ).write.option("compression", "lz4").parquet(f"{path}/shards")
+    ).write.option("compression", "zstd").parquet(f"{path}/shards")
     index = spark.read.parquet(f"{path}/shards").select("shard", F.explode("index").alias("i"))
     return index.select(
         "i.slot", "shard", (F.col("i.slot") % per_shard).alias("position"),
