@@ -234,6 +234,63 @@ def test_a_passage_in_many_texts_makes_no_class(spark):
     )
 
 
+def threshold_family(n=600):
+    """A text and copies near the threshold; some have a copy of their own at 0.8 or a little less."""
+    r, base, rows = random.Random(21), prose(77, 240, 10**6).split(), []
+    for i in range(n // 2):
+        own = list(base)
+        for k in range(r.randrange(4, 9)):
+            own[r.randrange(len(own))] = f"neu{i}x{k}"
+        twin = list(own)
+        for k in range(r.randrange(4, 8)):
+            twin[r.randrange(len(own))] = f"zwei{i}x{k}"
+        rows += [" ".join(own), " ".join(twin)]
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def test_all_alike_texts_of_a_bucket_are_linked(spark):
+    rows = threshold_family()
+    docs = frame(spark, rows)
+    bands = {r._id: r.bands for r in probminhash.signed(docs, "doc_id", "text").collect()}
+    sets = [set(weights(t)) for _, t in rows]
+    assert all(len(s) == 236 for s in sets)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    buckets = {}
+    for i, own in bands.items():
+        for band, h in enumerate(own):
+            buckets.setdefault((band, h), []).append(i)
+    meet = {(i, j) for members in buckets.values() for k, i in enumerate(members) for j in members[:k]}
+    both = {(i, j): len(sets[i] & sets[j]) for i, j in meet}
+    alike = [p for p, n in both.items() if n / (472 - n) >= 0.8]
+    assert len(meet) - len(alike) > 50_000
+    for i, j in alike:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    got = probminhash.near_duplicates(docs).select("doc_id", "class_id")
+    same_rows(got, [(i, find(i)) for i, _ in rows])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=30), min_size=2, max_size=6))
+def test_no_pair_is_more_alike_than_its_bound(texts):
+    sets = probminhash._sets(pa.array([" ".join(t) for t in texts]), 3)
+    bounds = np.cumsum([0] + [len(s[0]) for s in sets])
+    block = probminhash.Block(
+        [bytes([i]) for i in range(len(sets))], *(np.concatenate([s[i] for s in sets]) for i in (0, 1)), bounds
+    )
+    most = probminhash.bounds_of(block, block)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert probminhash.similarity(x, y) <= most[i, j] + 1e-5
+            if x[1].max() == y[1].max() == 1:
+                assert probminhash.similarity(x, y) == pytest.approx(most[i, j], abs=1e-5)
+
+
 # licences
 
 

@@ -8,11 +8,11 @@ their shingle counts, which does not depend on scale and is the plain Jaccard si
 shingle repeats.
 
 Bands of registers make candidates. In a bucket (texts equal in one band) all are compared with one of
-them, its centre, never with each other: with the member that shares buckets with the most texts. Where some member is not close enough to the centre, those
-which can still be close to it are dealt anew by the bucket and a third of the later bands, and there compared
-with two centres; that repeats until what is left in a bucket is of one class already. The distance 1 - similarity is a metric, so a
-member that is too far from the centre for that is left out without loss. Candidates are verified by
-their exact similarity, and linked texts form classes.
+them, its centre: with the member that shares buckets with the most texts. Linked texts form classes. Where some member is not
+close enough to the centre, the distance 1 - similarity, a metric, tells who can still be close to it. If those are of several
+classes, all pairs of different classes among them are compared, in tasks of two blocks of bounded size; a task returns
+one link for two classes. So every two texts that share a bucket and are alike end in one class. Links are
+verified by their exact similarity.
 
 Texts of fewer than five words have one shingle, all their words; texts without words are linked to
 nothing but texts that are equal. Null texts are empty. Equal texts are one node from the start, so a group of
@@ -22,10 +22,11 @@ copies costs one row each. Extra columns are ignored by ``near_duplicates`` and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe.llm.common import fresh_name, settle, small_batches, text_or_empty, texts_of
@@ -188,43 +189,175 @@ def _sets(column: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
-def _centred(members: DataFrame, centres: int) -> DataFrame:
-    """Members of buckets with company, compared with their bucket's centres.
+def _centred(members: DataFrame) -> DataFrame:
+    """(bucket, node, centre, complete): members of buckets with company next to their bucket's centre.
 
-    A bucket's centres are its members of the greatest ``weight``, the number of texts that share
-    a bucket with them: of a text and its changed copies that is the text itself, which is the most
-    alike to all. Equal weights stand in an order that each bucket draws. (bucket, band, node,
-    centre, place, complete): ``place`` numbers the centres; ``complete`` says that the member has
-    been compared with all of its bucket.
+    The centre is the member of the greatest ``weight``, the number of texts that share a bucket with
+    it: of a text and its changed copies that is the text itself, which is the most alike to all. Equal
+    weights stand in an order that each bucket draws. ``complete`` says that the member has been
+    compared with all of its bucket.
     """
     ranked = F.struct(
         (-F.col("weight")).alias("w"), F.xxhash64("bucket", "node").alias("r"), F.col("node").alias("c")
     )
-    if centres == 1:
-        chosen = members.groupBy("bucket").agg(
-            F.array(F.min(ranked)).alias("_centres"), F.count("*").alias("_n")
-        )
-    else:
-        order = Window.partitionBy("bucket").orderBy("_o")
-        first = members.select("bucket", ranked.alias("_o")).withColumn(
-            "_r", F.row_number().over(order)
-        ).where(F.col("_r") <= centres)
-        chosen = first.groupBy("bucket").agg(
-            F.array_sort(F.collect_list("_o")).alias("_centres")
-        ).join(members.groupBy("bucket").agg(F.count("*").alias("_n")), "bucket")
-    dealt = members.join(chosen.where("_n > 1"), "bucket").withColumn("_o", ranked)
-    return dealt.select(
-        "bucket", "band", "node",
-        ((F.col("_n") <= centres + 1) | F.array_contains("_centres", F.col("_o"))).alias("complete"),
-        F.posexplode(F.filter("_centres", lambda c: c < F.col("_o"))).alias("place", "_c"),
-    ).select("bucket", "band", "node", "complete", "place", F.col("_c.c").alias("centre"))
-
-
-#: How many centres a bucket has when it is dealt anew; buckets of one more are then complete.
-LATER_CENTRES = 2
-#: Of the later bands one in so many deals a bucket anew: texts as alike as the threshold agree in six
-#: or seven of the sixteen bands, so they meet again in several.
-THIRD = 3
+    chosen = members.groupBy("bucket").agg(
+        F.min(ranked)["c"].alias("centre"), F.count("*").alias("_n")
+    )
+    dealt = members.join(chosen.where("_n > 1"), "bucket").where("node != centre")
+    return dealt.select("bucket", "node", "centre", (F.col("_n") == 2).alias("complete"))
+
+
+#: Members and bytes of shingles of a block; they bound a task's memory, not its result.
+BLOCK_MEMBERS = 1024
+BLOCK_SETS = 2 << 20
+#: Shingles that are multiplied at once.
+COLUMNS = 2048
+
+
+@dataclass
+class Block:
+    """Weighted sets: the members of set i are ``shingle[bounds[i]:bounds[i + 1]]``, in order."""
+
+    roots: list[bytes]
+    shingle: np.ndarray
+    weight: np.ndarray
+    bounds: np.ndarray
+
+    def __post_init__(self):
+        self.order = np.argsort(self.shingle, kind="stable")
+        self.ordered = self.shingle[self.order]
+        self.owner = np.repeat(np.arange(len(self.roots)), np.diff(self.bounds))
+        sums = np.bincount(self.owner, self.weight, len(self.roots))
+        self.share = self.weight / sums[self.owner]
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        s, e = self.bounds[i], self.bounds[i + 1]
+        return self.shingle[s:e], self.weight[s:e]
+
+    def dense(self, columns: np.ndarray) -> np.ndarray:
+        """The sets' shares of some shingles (in order) as a matrix."""
+        s = np.searchsorted(self.ordered, columns[0])
+        e = np.searchsorted(self.ordered, columns[-1], "right")
+        place = np.searchsorted(columns, self.ordered[s:e])
+        here = columns[place] == self.ordered[s:e]
+        at = self.order[s:e][here]
+        out = np.zeros((len(self.roots), len(columns)), np.float32)
+        out[self.owner[at], place[here]] = self.share[at]
+        return out
+
+
+def bounds_of(a: Block, b: Block) -> np.ndarray:
+    """No pair is more alike than its bound; for sets without repeats that is the similarity.
+
+    With P and Q the shares of the two sets that lie in their common members, each term of the
+    similarity is at most pq / (q + (1 - Q) p), and as that is concave and of degree one in (p, q), the sum
+    is at most PQ / (P + Q - PQ).
+    """
+    p = np.zeros((len(a.roots), len(b.roots)), np.float32)
+    q = np.zeros_like(p)
+    common = np.intersect1d(a.shingle, b.shingle)
+    for start in range(0, len(common), COLUMNS):
+        x, y = (s.dense(common[start : start + COLUMNS]) for s in (a, b))
+        p += x @ (y > 0).astype(np.float32).T
+        q += (x > 0).astype(np.float32) @ y.T
+    return p * q / np.maximum(p + q - p * q, 1e-30)
+
+
+def class_links(a: Block, b: Block, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join all classes of which ``a`` and ``b`` hold two texts as alike as ``threshold``."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in up:
+            x = up[x]
+        return x
+
+    number = {r: i for i, r in enumerate(dict.fromkeys(a.roots + b.roots))}
+    left, right = (np.array([number[r] for r in s.roots]) for s in (a, b))
+    bound = bounds_of(a, b)
+    bound[left[:, None] == right[None, :]] = 0
+    rows, columns = np.nonzero(bound >= threshold - 1e-3)
+    order = np.argsort(-bound[rows, columns], kind="stable")
+    links = []
+    for i, j in zip(rows[order].tolist(), columns[order].tolist()):
+        x, y = top(a.roots[i]), top(b.roots[j])
+        if x != y and similarity(a.one(i), b.one(j)) >= threshold:
+            up[x] = y
+            links.append((x, y))
+    return links
+
+
+def _block(members: pa.StructScalar) -> Block:
+    values = members.values
+    parts = []
+    for name, kind in (("shingle", np.uint64), ("weight", np.int32)):
+        data, offsets = texts_of(values.field(name))
+        parts.append(data.view(kind))
+    return Block(values.field("root").to_pylist(), *parts, offsets // 4)
+
+
+def _sets_of(texts: DataFrame) -> DataFrame:
+    """(node, shingle, weight): a text's weighted set, packed."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            sets = _sets(batch.column("text"), SHINGLE)
+            packed = [
+                pa.array([s[i].astype(kind).tobytes() for s in sets], pa.binary())
+                for i, kind in ((0, np.uint64), (1, np.int32))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), *packed], ["node", "shingle", "weight"]
+            )
+
+    return texts.select("node", "text").mapInArrow(make, "node binary, shingle binary, weight binary")
+
+
+def _compared(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes to be joined, from all pairs of a bucket's members that are of different classes.
+
+    ``left`` is (bucket, node, root). Members of a large class have blocks of their own, which are not
+    compared with each other; those of the others share blocks.
+    """
+    nodes = left.select("node").distinct()
+    sets = settle(_sets_of(texts.join(nodes, "node", "left_semi")), "sets")
+    sized = sets.select(
+        "node", F.greatest(F.length("shingle") / BLOCK_SETS, F.lit(1 / BLOCK_MEMBERS)).alias("_load")
+    )
+    classes = left.join(sized, "node").groupBy("bucket", "root").agg(F.sum("_load").alias("_load"))
+    classes = classes.withColumn(
+        "own", F.when(F.col("_load") > 0.25, F.col("root")).otherwise(F.lit(b""))
+    )
+    parts = classes.groupBy("bucket", "own").agg(F.ceil(F.sum("_load")).alias("_parts"))
+    of_class = classes.select("bucket", "root", "own").join(parts, ["bucket", "own"])
+    part = F.pmod(F.xxhash64("node"), F.col("_parts")).alias("part")
+    placed = left.join(of_class, ["bucket", "root"]).select(
+        "bucket", F.struct("own", part).alias("block"), "node", "root"
+    )
+    blocks = settle(
+        placed.join(sets, "node").groupBy("bucket", "block").agg(
+            F.collect_list(F.struct("root", "shingle", "weight")).alias("members")
+        ),
+        "blocks",
+    )
+    keys = blocks.select("bucket", F.col("block").alias("one"))
+    pairs = keys.join(keys.withColumnRenamed("one", "two"), "bucket").where(
+        "one <= two AND (one.own != two.own OR one.own = X'')"
+    )
+    first = blocks.select("bucket", F.col("block").alias("one"), F.col("members").alias("_a"))
+    second = blocks.select("bucket", F.col("block").alias("two"), F.col("members").alias("_b"))
+    both = pairs.join(first, ["bucket", "one"]).join(second, ["bucket", "two"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(0), batch.column(1)):
+                found += class_links(_block(x), _block(y), threshold)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"]
+            )
+
+    return both.select("_a", "_b").mapInArrow(make, "a binary, b binary")
 
 
 def roots_of(
@@ -234,78 +367,72 @@ def roots_of(
     numbered = classes.where("bands IS NOT NULL").select(
         "node", F.posexplode("bands").alias("band", "_h")
     )
-    every = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "band", "node")
+    every = numbered.select(F.xxhash64("band", "_h").alias("bucket"), "node")
     shared = every.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     met = settle(every.join(shared, "bucket"), "met")  # most texts share no bucket
     weights = settle(met.groupBy("node").agg(F.sum("_n").alias("weight")), "weights")
-    members = met.drop("_n").join(weights, "node")
-    numbered = numbered.join(weights, "node")
-    texts = known = roots = None
-    while True:
-        dealt = settle(
-            _centred(members, 1 if known is None else LATER_CENTRES).select(
-                "bucket", "band", "node", "complete", "place",
-                F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"),
-            ),
-            "buckets",
-        )
-        pairs = dealt.select("a", "b").distinct()
-        if known is None:
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-            texts = settle(texts_of_nodes(nodes.distinct(), docs, text_column), "texts")
-        else:  # later buckets are parts of the first ones
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = settle(verified(pairs, texts), "verified")
-        known = found if known is None else known.unionByName(found)
-        if roots is None or not found.where(F.col("similarity") >= threshold).isEmpty():
-            roots = components(known.where(F.col("similarity") >= threshold))
-
-        judged = dealt.where("place = 0 AND NOT complete").join(known, ["a", "b"])
-        far = judged.where(F.col("similarity") < threshold).groupBy("bucket").agg(
-            F.max("similarity").alias("_far")
-        )
-        # Close to a far member (at most `far` like the centre) can only be who is at most that
-        # much more like the centre.
-        open_ = judged.join(far, "bucket").where(
-            F.col("similarity") <= F.col("_far") + (1 - threshold) + 1e-9
-        )
-        rooted = settle(
-            open_.select("bucket", "band", "node").join(roots, "node", "left")
-            .withColumn("root", F.coalesce("root", "node")),
-            "rooted",
-        )
-        # Open is a bucket with members of several classes not all of which have been compared.
-        # Of buckets with the same members one goes on, that with the most bands to come.
-        of_class = rooted.groupBy("bucket", "band", "root").agg(
-            F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_who")
-        )
-        sizes = of_class.groupBy("bucket", "band").agg(
-            F.sum("_n").alias("_n"), F.bit_xor("_who").alias("_who"),
-            ((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2)
-            .cast("bigint").alias("_cross"),
-        )
-        apart = known.where(F.col("similarity") < threshold)
-        one = rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("_ra"))
-        two = rooted.select("bucket", F.col("node").alias("b"), F.col("root").alias("_rb"))
-        compared = (
-            apart.select("a", "b").join(one, "a").join(two, ["bucket", "b"])
-            .where("_ra != _rb").groupBy("bucket").agg(F.count("*").alias("_known"))
-        )
-        groups = (
-            sizes.where("_cross > 0").join(compared, "bucket", "left")
-            .where(F.col("_cross") > F.coalesce("_known", F.lit(0)))
-            .groupBy("_n", "_who").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket"))
-        )
-        left = settle(
-            rooted.join(groups, "bucket", "left_semi").select("bucket", "band", "node"), "open"
-        )
-        if left.isEmpty():
-            return roots
-        later = numbered.select("node", "weight", F.col("band").alias("_later"), "_h")
-        members = left.join(later, "node").where(f"_later > band AND (_later + band) % {THIRD} = 0").select(
-            F.xxhash64("bucket", "_later", "_h").alias("bucket"),
-            F.col("_later").alias("band"), "node", "weight",
-        )
+    dealt = settle(
+        _centred(met.drop("_n").join(weights, "node")).select(
+            "bucket", "node", "complete",
+            F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"),
+        ),
+        "buckets",
+    )
+    pairs = dealt.select("a", "b").distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    texts = settle(texts_of_nodes(nodes.distinct(), docs, text_column), "texts")
+    known = settle(verified(pairs, texts), "verified")
+    roots = components(known.where(F.col("similarity") >= threshold))
+
+    judged = dealt.where("NOT complete").join(known, ["a", "b"])
+    far = judged.where(F.col("similarity") < threshold).groupBy("bucket").agg(
+        F.max("similarity").alias("_far")
+    )
+    # Close to a far member (at most `far` like the centre) can only be who is at most that
+    # much more like the centre.
+    open_ = judged.join(far, "bucket").where(
+        F.col("similarity") <= F.col("_far") + (1 - threshold) + 1e-9
+    )
+    rooted = settle(
+        open_.select("bucket", "node").join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node")),
+        "rooted",
+    )
+    # Open is a bucket with members of several classes not all of which have been compared.
+    # Of buckets with the same members one goes on.
+    of_class = rooted.groupBy("bucket", "root").agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_who")
+    )
+    sizes = of_class.groupBy("bucket").agg(
+        F.sum("_n").alias("_n"), F.bit_xor("_who").alias("_who"),
+        ((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2)
+        .cast("bigint").alias("_cross"),
+    )
+    apart = known.where(F.col("similarity") < threshold)
+    one = rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("_ra"))
+    two = rooted.select("bucket", F.col("node").alias("b"), F.col("root").alias("_rb"))
+    compared = (
+        apart.select("a", "b").join(one, "a").join(two, ["bucket", "b"])
+        .where("_ra != _rb").groupBy("bucket").agg(F.count("*").alias("_known"))
+    )
+    groups = (
+        sizes.where("_cross > 0").join(compared, "bucket", "left")
+        .where(F.col("_cross") > F.coalesce("_known", F.lit(0)))
+        .groupBy("_n", "_who").agg(F.min("bucket").alias("bucket"))
+    )
+    left = settle(rooted.join(groups, "bucket", "left_semi"), "open")
+    if left.isEmpty():
+        return roots
+    links = settle(_compared(left, texts, threshold), "links")
+    if links.isEmpty():
+        return roots
+    # Every class is named by its least node, so the least of joined names is the joint one's.
+    joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    own = joined.select(F.col("root").alias("node"), "root")
+    return (
+        roots.union(own).distinct().join(joined, "root", "left")
+        .select("node", F.coalesce("_top", "root").alias("root"))
+    )
 
 
 def classified(
