@@ -387,6 +387,14 @@ def test_urls_against_plain_python(spark):
     assert plain.count() == len(urls)
 
 
+def test_listed_pages_count_once_each(spark):
+    urls = ["http://spam.example.net/q"] * 25 + [f"http://fine{i}.org/fr/" for i in range(60)]
+    urls += ["http://spam.info/x", "http://fine.info/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = url_rules.judged(pages).where("page_id >= 85").select("page_id", "verdict")
+    same_rows(got, [(85, "block"), (86, "allow")])
+
+
 def test_index_looks_up_rules_by_their_rarest_token(spark):
     rules = spark.createDataFrame([(["a", "b"],), (["b", "c"],)], "tokens array<string>")
     counts = spark.createDataFrame([("a", 5), ("b", 2), ("c", 9)], "token string, n bigint")

@@ -75,7 +75,7 @@ def mined_rules(
 ) -> DataFrame:
     """(tokens, confidence, support) of rules "all these tokens, so blocked".
 
-    ``labelled`` has (tokens, blocked). A rule whose part is already a rule adds nothing and goes.
+    ``labelled`` has (tokens, blocked). A rule whose part is already a rule stays; it adds nothing.
     """
     items = labelled.select(
         F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED)))
@@ -121,12 +121,12 @@ def judged(
     )
     # A verdict hangs on host and path only, so equal ones are judged once.
     kinds = settle(
-        named.groupBy("host", "path", "listed").agg(F.count("*").alias("n"))
-        .withColumn("tokens", tokens_of(host, path)),
+        named.select("host", "path", "listed").distinct().withColumn("tokens", tokens_of(host, path)),
         "urls",
     )
-    examples = kinds.where("listed IS NOT NULL").select(
-        "tokens", (F.col("listed") == "block").alias("blocked")
+    # Support and confidence are shares of all labelled urls: each page counts once, whoever labels it.
+    examples = named.where("listed IS NOT NULL").select(
+        tokens_of(host, path).alias("tokens"), (F.col("listed") == "block").alias("blocked")
     )
     if labels is not None:
         told = labels.groupBy(F.col(label_id).alias("_id")).agg(F.max(bad).alias("blocked"))
