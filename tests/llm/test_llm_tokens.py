@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from llm_cases import awkward_rows, frame, prose, same_rows
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from vouchsafe.llm import counting, packing, tokens, training_order
 
 LIBRARY = Tokenizer.from_file(tokens.vocabulary_path())
@@ -33,11 +35,15 @@ def test_encoder_gives_the_librarys_ids(text):
 
 
 def test_encoder_with_a_full_table(monkeypatch):
-    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 40)
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 8000)
+    monkeypatch.setattr(tokens, "_SLICE", 25)
     own = tokens.Encoder(tokens.vocabulary_path())
     many = [prose(i, 60) for i in range(6)]
     got = [np.frombuffer(b, "<u4").tolist() for t in many for b in own.encode([t.encode()])]
     assert got == [library_ids(t) for t in many]
+    assert own.older and len(own.table) + len(own.older) < 150
+    own.forget()
+    assert not own.table and not own.older
 
 
 @settings(max_examples=200, deadline=None)
@@ -153,24 +159,47 @@ def test_feistel_is_a_keyed_permutation(n):
         assert abs(np.corrcoef(numbers, slots)[0, 1]) < 0.4
 
 
-def test_shards_are_a_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("dtype, pad", [("<u2", 0), ("<u4", 99)])
+def test_shards_are_a_round_trip(spark, tmp_path, dtype, pad):
     rows = awkward_rows()
     index = training_order.write_shards(
-        frame(spark, rows), str(tmp_path), key=3, length=64, per_shard=10
+        frame(spark, rows), str(tmp_path), key=3, length=64, per_shard=10, dtype=dtype, pad=pad
     ).cache()
     want = [(i, piece, start, length, crc) for i, piece, start, length, crc in cut(rows, 64)]
     same_rows(index.select("doc_id", "piece", "start", "length", "ids_crc32"), want)
     n = len(want)
     assert sorted(r.slot for r in index.collect()) == list(range(n))
-    got = training_order.read_slots(spark, str(tmp_path), 5, 37, per_shard=10)
+    got = training_order.read_slots(spark, str(tmp_path), 5, 37)
     by_slot = {r.slot: bytes(r.payload) for r in got.collect()}
     assert sorted(by_slot) == list(range(5, min(37, n)))
     for r in index.where("slot >= 5 AND slot < 37").collect():
-        ids = np.frombuffer(by_slot[r.slot], "<u2")
-        assert len(ids) == 64 and not ids[r.length :].any()
+        ids = np.frombuffer(by_slot[r.slot], dtype)
+        assert len(ids) == 64 and (ids[r.length :] == pad).all()
         assert zlib.crc32(ids[: r.length].astype("<u4").tobytes()) == r.ids_crc32
         assert r.shard == r.slot // 10 and r.position == r.slot % 10
 
 
+def test_files_of_shards_follow_each_other(spark, tmp_path):
+    docs = frame(spark, [(i, prose(i, 200)) for i in range(60)])
+    total = training_order.write_shards(docs, str(tmp_path), key=1, length=16, per_shard=7, shards_per_file=5).count()
+    files = spark.read.parquet(f"{tmp_path}/shards").select("slot", F.input_file_name().alias("f"), F.spark_partition_id())
+    ranges = sorted((min(s), max(s), s) for s in ([r.slot for r in g] for g in groups(files.collect(), "f")))
+    assert len(ranges) == -(-total // 35)
+    for (low, high, slots), start in zip(ranges, range(0, total, 35)):
+        assert (low, high) == (start, min(start + 35, total) - 1) and slots == sorted(slots)
+
+
+def groups(rows, name):
+    out = {}
+    for r in rows:
+        out.setdefault(r[name], []).append(r)
+    return out.values()
+
+
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="do not fit"):
+        training_order.write_shards(frame(spark, [(1, prose(1, 30))]), str(tmp_path), dtype="<u1")
+
+
 def test_no_documents_make_no_shards(spark, tmp_path):
     assert training_order.write_shards(frame(spark, []), str(tmp_path)).count() == 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe.llm.common import fresh_name, small_batches, texts_of
-from vouchsafe.llm.tokens import Encoder, encoder, vocabulary_path
+from vouchsafe.llm.tokens import Encoder, task_encoder, vocabulary_path
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
@@ -127,20 +127,23 @@ def counted(
     names = [*kept, into]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        with task_encoder(path) as known:
+            yield from counts(known, batches)
+
+    def counts(known: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
             last = batch.num_columns - 1
             data, offsets = texts_of(batch.column(last))
             raw, at = data.tobytes(), offsets.tolist()
-            counts = [0] * batch.num_rows
+            found = [0] * batch.num_rows
             short = [d for d in range(batch.num_rows) if at[d + 1] - at[d] <= chunk]
             for d, ids in zip(short, known.encode([raw[at[d] : at[d + 1]] for d in short])):
-                counts[d] = len(ids) // 4
+                found[d] = len(ids) // 4
             for d in range(batch.num_rows):
                 if at[d + 1] - at[d] > chunk:
-                    counts[d] = token_count(known, raw[at[d] : at[d + 1]], chunk, overlap)
+                    found[d] = token_count(known, raw[at[d] : at[d + 1]], chunk, overlap)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:last], pa.array(counts, pa.int64())], names
+                [*batch.columns[:last], pa.array(found, pa.int64())], names
             )
 
     schema = docs.select(*own, F.lit(0).cast("bigint").alias(into)).schema

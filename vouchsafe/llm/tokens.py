@@ -9,6 +9,8 @@ a bounded table first; unseen ones are encoded together. ``tests/llm`` compares
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -16,9 +18,13 @@ import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of the table of known chunks in one Python worker. When it is full it becomes the older
-#: table, from which chunks that are met again move over, and the one before that goes.
-TABLE_ENTRIES = 500_000
+#: Bytes that the known chunks of one Python worker may take, in two tables of half as much. When the newer one is
+#: full it becomes the older, from which chunks that are met again move over, and the one before that goes.
+TABLE_BYTES = 64 << 20
+#: What an entry takes besides the bytes of its chunk and ids: two objects and a place in a dictionary.
+_ENTRY_BYTES = 190
+#: Chunks of a text that are looked up at once.
+_SLICE = 131_072
 #: Chunks up to this many bytes are kept; longer ones are encoded each time.
 TABLE_CHUNK = 64
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -50,6 +56,7 @@ class Encoder:
         self.mark = mark[0]
         self.table: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.filled = 0  # bytes in the newer table, estimated from above
 
     def _whole(self, chunk: bytes) -> bytes:
         ids = self.library.encode(chunk.decode(), add_special_tokens=False).ids
@@ -115,32 +122,56 @@ class Encoder:
         return long
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
+        """The ids of each text. Many or giant texts are looked up in slices, so the tables keep their size."""
+        out, part, size = [], [], 0
+        for text in texts:
+            chunks = text.split()
+            if size + len(chunks) > _SLICE and part:
+                out += self._looked_up(part)
+                part, size = [], 0
+            if len(chunks) > _SLICE:
+                slices = (chunks[i : i + _SLICE] for i in range(0, len(chunks), _SLICE))
+                out.append(b"".join(self._looked_up([s])[0] for s in slices))
+            else:
+                part.append(chunks)
+                size += len(chunks)
+        return out + self._looked_up(part) if part else out
+
+    def _looked_up(self, parts: list[list[bytes]]) -> list[bytes]:
         unseen = set()
         for p in parts:
             unseen.update(p)
-        if len(unseen) > TABLE_ENTRIES // 2:  # giant texts: in slices, so the table stays small
-            return [self._giant(p) for p in parts]
         missing = unseen.difference(self.table)
         long = {}
         if missing:
-            if len(self.table) + len(missing) > TABLE_ENTRIES:
-                self.older, self.table = self.table, {}
+            if self.filled > TABLE_BYTES // 2:
+                self.older, self.table, self.filled = self.table, {}, 0
                 missing = unseen
+            before = len(self.table)
             long = self._look_up(missing)
+            self.filled += (len(self.table) - before) * _ENTRY_BYTES + 5 * sum(map(len, missing.difference(long)))
         known = self.table
         if long:
             return [b"".join([known[c] if c in known else long[c] for c in p]) for p in parts]
         get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
-    def _giant(self, chunks: list[bytes]) -> bytes:
-        step = TABLE_ENTRIES // 4
-        slices = (chunks[i : i + step] for i in range(0, len(chunks), step))
-        return b"".join(self.encode([b" ".join(s)])[0] for s in slices)
+
+    def forget(self) -> None:
+        """Give the tables' memory back."""
+        self.table, self.older, self.filled = {}, {}, 0
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for a Python worker; it stays while the worker is reused."""
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+@contextmanager
+def task_encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder, whose tables last as long as a task: workers that wait for others hold none."""
+    known = _encoder(path)
+    try:
+        yield known
+    finally:
+        known.forget()

@@ -3,18 +3,17 @@
 Documents are cut into sequences of at most ``length`` ids. Every sequence gets a dense number, and a
 keyed Feistel network with cycle-walking maps the numbers 0..n-1 one to one onto the slots 0..n-1:
 the order of a training run, drawn without sorting by a random key and reproducible from the key.
-Range partitions of slots write shards: a shard is one record of ``per_shard`` sequences of fixed
-stride, so the sequence of slot s is at byte ``(s mod per_shard) * stride`` of shard ``s div
-per_shard``. Readers go through shards in order and can resume at any slot.
+A shard is ``per_shard`` slots. A file holds a range of whole shards in slot order, so which file a slot goes to
+follows from the slot alone, and nothing is sampled. Each sequence has the same stride, ``length`` ids of ``dtype``
+padded with ``pad``; the true lengths are in the index. Readers go through files in order, or to any range of
+slots: row groups that hold none of it are skipped by their statistics.
 
-Stride: ``length`` ids of 16 or 32 bits, padded with ``pad``; the true lengths are in the index.
-Null texts hold the end id alone. Repeated rows are written once each. No documents, no shards.
-Extra columns are not carried.
+Null texts hold the end id alone. Repeated rows are written once each. No documents, no shards. Ids that do not fit
+``dtype`` are refused. Extra columns are not carried.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouchsafe.llm.common import settle
+from vouchsafe.llm.common import settle, texts_of
+from vouchsafe.session import small_frame
 from vouchsafe.llm.packing import pieces
 from vouchsafe.llm.words import mix
 
 LENGTH = 1024
 PER_SHARD = 4096
 PAD = 0
+SHARDS_PER_FILE = 4
+#: Bytes of a row group: what a reader of a few slots unpacks.
+ROW_GROUP = 4 << 20
 ROUNDS = 6
+#: Sequences that a task pads at once.
+BLOCK = 2048
+ORDER = "key bigint, sequences bigint, length bigint, stride bigint, dtype string, per_shard bigint"
 
 
 def feistel(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -97,146 +103,59 @@ def numbered(cut: DataFrame) -> tuple[DataFrame, int]:
 def write_shards(
     docs: DataFrame, path: str, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD,
     id_column: str = "doc_id", text_column: str = "text", dtype: str = "<u2", pad: int = PAD,
+    shards_per_file: int = SHARDS_PER_FILE,
 ) -> DataFrame:
     """Write the shards below ``path`` and return the index.
 
-    ``path``/shards: (shard, first_slot, sequences, stride, payload), one row per shard.
-    Index: (slot, shard, position, id, piece, start, length, ids_crc32).
+    ``path``/shards: the index (slot, shard, position, id, piece, start, length, ids_crc32) with ``payload``, the
+    sequence in its stride. ``path``/order: one row with what a reader must know.
     """
     spark = docs.sparkSession
-    stride = length * np.dtype(dtype).itemsize
-    cut = settle(_sequences(docs, id_column, text_column, length, dtype, pad), "sequences", "zstd")
-    table, total = numbered(cut)
-
-    def give_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number = batch.column("_first").to_numpy() + batch.column("_serial").to_numpy()
-            slot = feistel(number, total, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), *(batch.column(c) for c in columns)], ["slot", *columns]
-            )
-
-    columns = [id_column, "piece", "start", "length", "payload"]
-    id_type = cut.schema[id_column].dataType.simpleString()
-    placed = table.mapInArrow(
-        give_slots,
-        f"slot bigint, `{id_column}` {id_type}, piece int, start bigint, length bigint,"
-        " payload binary",
-    ).withColumn("shard", F.floor(F.col("slot") / per_shard))
-
-    # Whole shards stand together: partitions are ranges of shards, each sorted by slot.
-    shards = max(1, -(-total // per_shard))
-    parts = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    per_part = -(-shards // parts)
-    ranged = placed.repartitionByRange(
-        parts, F.floor(F.col("shard") / per_part)
-    ).sortWithinPartitions("slot")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, parts_ = None, [], []
-        for batch in batches:
-            for s, row in zip(batch.column("shard").to_pylist(), zip(
-                *(batch.column(c).to_pylist() for c in ("slot", *columns))
-            )):
-                if s != shard and parts_:
-                    yield record(shard, parts_, ids)
-                    parts_, ids = [], []
-                shard = s
-                parts_.append(row[-1].ljust(stride, pad_bytes))
-                ids.append(row[:-1])
-        if parts_:
-            yield record(shard, parts_, ids)
-
-    pad_bytes = b"\0"
-    entry = pa.struct([
-        ("slot", pa.int64()), (id_column, cut_type(cut, id_column)), ("piece", pa.int32()),
-        ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-    ])
-    width = np.dtype(dtype).itemsize
-
-    def record(shard: int, payload: list[bytes], ids: list[tuple]) -> pa.RecordBatch:
-        index = [
-            dict(zip(("slot", id_column, "piece", "start", "length", "ids_crc32"), (
-                *row, zlib.crc32(np.frombuffer(p[: row[-1] * width], dtype).astype("<u4").tobytes())
-            )))
-            for row, p in zip(ids, payload)
-        ]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard]), pa.array([ids[0][0]]), pa.array([len(ids)], pa.int64()),
-                pa.array([stride], pa.int64()), pa.array([b"".join(payload)], pa.binary()),
-                pa.array([index], pa.list_(entry)),
-            ],
-            ["shard", "first_slot", "sequences", "stride", "payload", "index"],
-        )
-
-    inner = (
-        f"slot:bigint,`{id_column}`:{id_type},piece:int,start:bigint,length:bigint,"
-        "ids_crc32:bigint"
+    cut = pieces(docs, id_column, text_column, capacity=length).select(
+        id_column, "piece", "start", "length", "ids_crc32", "ids", F.monotonically_increasing_id().alias("_made")
     )
-    ranged.mapInArrow(
-        write,
-        "shard bigint, first_slot bigint, sequences bigint, stride bigint, payload binary,"
-        f" index array<struct<{inner}>>",
-    ).write.option("compression", "zstd").parquet(f"{path}/shards")
-    index = spark.read.parquet(f"{path}/shards").select("shard", F.explode("index").alias("i"))
-    return index.select(
-        "i.slot", "shard", (F.col("i.slot") % per_shard).alias("position"),
-        f"i.{id_column}", "i.piece", "i.start", "i.length", "i.ids_crc32",
-    )
-
-
-def cut_type(cut: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(cut.schema[column].dataType)
-
-
-def _sequences(
-    docs: DataFrame, id_column: str, text_column: str, length: int, dtype: str, pad: int
-) -> DataFrame:
-    """(id, piece, start, length, payload, _task, _serial), numbered within the task."""
-    cut = pieces(docs, id_column, text_column, capacity=length)
-    narrow = np.dtype(dtype)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = 0
-        for batch in batches:
-            n = batch.num_rows
-            ids = [
-                np.frombuffer(p, "<u4").astype(narrow).tobytes()
-                for p in batch.column("ids").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in (id_column, "piece", "start", "length")),
-                    pa.array(ids, pa.binary()), batch.column("_task"),
-                    pa.array(np.arange(serial, serial + n)),
-                ],
-                [id_column, "piece", "start", "length", "payload", "_task", "_serial"],
-            )
-            serial += n
-
-    id_type = cut.schema[id_column].dataType.simpleString()
-    return cut.mapInArrow(
-        make,
-        f"`{id_column}` {id_type}, piece int, start bigint, length bigint, payload binary,"
-        " _task int, _serial bigint",
+    # The upper bits name the task that made a row, the lower 33 count its rows.
+    made = settle(cut, "sequences", "zstd").select(
+        "*", F.shiftright("_made", 33).alias("_task"), (F.col("_made").bitwiseAND(2**33 - 1)).alias("_serial")
+    )
+    table, total = numbered(made)
+    stride, narrow = length * np.dtype(dtype).itemsize, np.dtype(dtype)
+    most = np.iinfo(narrow).max
+    columns = [id_column, "piece", "start", "length", "ids_crc32"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(begin, BLOCK)
+                slot = feistel(batch.column("_first").to_numpy() + batch.column("_serial").to_numpy(), total, key)
+                data, offsets = texts_of(batch.column("ids"))
+                ids = data.view("<u4")
+                if len(ids) and ids.max() > most:
+                    raise ValueError(f"ids up to {ids.max()} do not fit {dtype}")
+                padded = np.full((len(slot), length), pad, narrow)
+                padded[np.arange(length) < (np.diff(offsets) // 4)[:, None]] = ids
+                ends = pa.array(np.arange(len(slot) + 1, dtype=np.int32) * stride).buffers()[1]
+                payload = pa.Array.from_buffers(pa.binary(), len(slot), [None, ends, pa.py_buffer(padded)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot), *(batch.column(c) for c in columns), payload], ["slot", *columns, "payload"]
+                )
+
+    id_type = made.schema[id_column].dataType.simpleString()
+    schema = f"slot bigint, `{id_column}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, payload binary"
+    files = max(1, -(-total // (per_shard * shards_per_file)))
+    (
+        table.mapInArrow(place, schema)
+        .withColumns({"shard": F.floor(F.col("slot") / per_shard), "position": F.col("slot") % per_shard})
+        .repartitionById(files, F.floor(F.col("slot") / (per_shard * shards_per_file)).cast("int"))
+        .sortWithinPartitions("slot")
+        .write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/shards")
     )
+    order = {"key": key, "sequences": total, "length": length, "stride": stride, "dtype": dtype, "per_shard": per_shard}
+    small_frame(spark, [order], ORDER).write.parquet(f"{path}/order")
+    return spark.read.parquet(f"{path}/shards").select("slot", "shard", "position", *columns)
 
 
-def read_slots(
-    spark: SparkSession, path: str, start: int, stop: int, per_shard: int = PER_SHARD
-) -> DataFrame:
-    """The sequences of the slots start..stop-1: (slot, payload); only their shards are read."""
-    shards = spark.read.parquet(f"{path}/shards").where(
-        F.col("shard").between(start // per_shard, (stop - 1) // per_shard)
-    )
-    at = F.sequence(F.lit(0).cast("bigint"), F.col("sequences") - 1)
-    return shards.select("first_slot", "stride", "payload", F.explode(at).alias("i")).select(
-        (F.col("first_slot") + F.col("i")).alias("slot"),
-        F.substring(
-            F.col("payload"), (F.col("i") * F.col("stride") + 1).cast("int"),
-            F.col("stride").cast("int"),
-        ).alias("payload"),
-    ).where(F.col("slot").between(start, stop - 1))
+def read_slots(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """The sequences of the slots start..stop-1: (slot, payload); only their row groups are read."""
+    shards = spark.read.parquet(f"{path}/shards")
+    return shards.where((F.col("slot") >= start) & (F.col("slot") < stop)).select("slot", "payload")
