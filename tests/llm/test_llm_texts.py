@@ -304,14 +304,16 @@ def license_words(text):
         labels |= {label} if here else set()
     share = 0.0
     more = set(labels)
-    for line in (text or "").split("\n"):
-        block = set(words(line))
-        for label, t in license_join.TEMPLATES:
-            template = set(t.split())
+    for t in license_join.TEMPLATES:
+        template = set(t.text.split())
+        n = len(t.text.split())
+        for i in [i for i, w in enumerate(own) if w in template]:
+            block = set(own[i : i + n + math.ceil(n / 4)])
             both = len(block & template)
-            if both >= math.ceil(0.8 * len(template) - 1e-9):
-                more.add(label)
-                share = max(share, both / len(template))
+            if set(t.must.split()) <= block and not set(t.without.split()) & block:
+                if both >= math.ceil(0.8 * len(template) - 1e-9):
+                    more.add(t.label)
+                    share = max(share, both / len(template))
     return (
         len(own), len(at), min(at, default=None), max(at, default=None),
         ",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if at else share,
@@ -322,8 +324,7 @@ def test_license_scan_against_every_pair(spark):
     r = random.Random(3)
     rows = awkward_rows()
     for i in range(60):
-        label, template = r.choice(license_join.TEMPLATES)
-        own = template.split()
+        own = r.choice(license_join.TEMPLATES).text.split()
         for _ in range(r.randrange(4)):
             own[r.randrange(len(own))] = "anders"
         r.shuffle(own) if i % 3 == 0 else None
@@ -334,6 +335,13 @@ def test_license_scan_against_every_pair(spark):
         (1002, "apache \u212aey license version 2 apache license, version 2.0"),
         (1003, "under the m\u0131t license éunder the mit license under the mit licenseé"),
     ]
+    for i in range(40):
+        t = r.choice(license_join.TEMPLATES)
+        near = r.choice(license_join.TEMPLATES)
+        own = t.text.split() + near.text.split()[: r.randrange(12)] + prose(i, 5).split() + t.text.split()
+        for _ in range(r.randrange(6)):
+            own.insert(r.randrange(len(own)), r.choice(["und", "*", "lesser", "the", "3", "\n//"]))
+        rows.append((2000 + i, " ".join(own)))
     got = license_join.scanned(frame(spark, rows))
     got = got.select("doc_id", "n_words", "n_base", "first_word", "last_word",
                      F.array_join("base_labels", ","), F.array_join("labels", ","), "score")
@@ -341,6 +349,32 @@ def test_license_scan_against_every_pair(spark):
     assert license_join.scanned(frame(spark, [])).count() == 0
 
 
+NOTICES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated"
+     " documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the"
+     "\nfollowing conditions\nare met:", "bsd"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public"
+     " License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option)"
+     " any later version.", "gpl-3"),
+    ("licensed under CC BY 4.0", ""),
+    ("licensed under the GNU Lesser General Public License version 2.1", ""),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", "lgpl-3"),
+    ("This work is licensed under the GNU Affero General Public License, version 3", ""),
+    ("released under the Apache license", ""),
+    ("Licensed under the Apache License version 1.0", ""),
+    ("Licensed under the Apache License,\nVersion 2.0", "apache-2"),
+    ("released " + "x " * 100 + "under " + "y " * 100 + "the license " + "z " * 100 + "mit", ""),
+    ("Licensed under\nCC BY-NC\n4.0", "cc-by-nc"),
+]
+
+
+def test_wrapped_notices_are_found_and_near_misses_are_not(spark):
+    rows = [(i, f"{prose(i, 30)}\n{text}\n{prose(i + 50, 30)}") for i, (text, _) in enumerate(NOTICES)]
+    got = {r.doc_id: ",".join(r.labels) for r in license_join.scanned(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [label for _, label in NOTICES]
+
+
 # URLs
 
 

@@ -71,7 +71,9 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 def _license_sql() -> str:
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_join.PHRASES)
-    templates = ", ".join(f"('{label}', '{t}')" for label, t in license_join.TEMPLATES)
+    templates = ", ".join(
+        f"('{t.label}', '{t.text}', '{t.must}', '{t.without}', {t.width})" for t in license_join.TEMPLATES
+    )
     return f"""WITH docs AS (SELECT doc_id, text, {_words_sql("text")} AS w FROM documents),
 phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {phrases}) t(phrase, label)),
 places AS (
@@ -80,13 +82,17 @@ places AS (
         WHERE len(w) >= len(p) AND list_has_all(w, p))
   WHERE list_slice(w, i, i + len(p) - 1) = p),
 templates AS (
-  SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {templates}) v(label, words)),
+  SELECT label, list_distinct(string_split(words, ' ')) AS t, string_split(must, ' ') AS must,
+    string_split(without, ' ') AS without, width FROM (VALUES {templates}) v(label, words, must, without, width)),
 blocks AS (
-  SELECT doc_id, list_distinct({_words_sql("line")}) AS b
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+  SELECT doc_id, label, t, must, without, list_distinct(list_slice(w, i, i + width - 1)) AS b
+  FROM (SELECT d.doc_id, d.w, v.*, unnest(range(1, len(w) + 1)) AS i FROM docs d, templates v
+        WHERE list_has_all(w, must) AND len(list_intersect(list_distinct(w), t)) >= ceil({license_join.THRESHOLD} * len(t) - 1e-9))
+  WHERE list_contains(t, w[i])),
 shares AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
-  WHERE len(list_intersect(b, t)) >= ceil({license_join.THRESHOLD} * len(t) - 1e-9)),
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks
+  WHERE list_has_all(b, must) AND NOT list_has_any(b, without)
+    AND len(list_intersect(b, t)) >= ceil({license_join.THRESHOLD} * len(t) - 1e-9)),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
