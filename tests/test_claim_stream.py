@@ -1,4 +1,4 @@
-"""Claims as a stream against the batch twin and a plain bus."""
+"""Claims and markers as streams against their batch twins and a plain bus."""
 
 import datetime as dt
 import random
@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vouchsafe.operators import events as V
-from vouchsafe.streaming import claims
+from vouchsafe.streaming import claims, idempotency, relay
+from vouchsafe.streaming.running import drain
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 BUS = "consumer string, event_id string, kind string, at timestamp, deliveries bigint"
@@ -123,3 +124,65 @@ def test_many_waiting_events_are_taken_part_by_part(spark, tmp_path, monkeypatch
     got = run(spark, tmp_path, rows, 2, tick_seconds=10, batch_size=4, lateness="1 second")
     got = {(x.tick.replace(tzinfo=dt.timezone.utc), x.event_id, x.deliveries) for x in got.where("consumer = 'a'").collect()}
     assert got == {x[1:] for x in plain_bus(rows, 10, 4, 86400, 890) if x[0] == "a"}
+
+
+def write_files(spark, folder, rows, schema, files, order):
+    rows = sorted(rows, key=order)
+    per = -(-len(rows) // files)
+    r = random.Random(3)
+    for i in range(files):
+        part = rows[i * per : (i + 1) * per]
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_marker_lifetimes_equal_the_batch_twin_at_any_time(spark, tmp_path, small_chunks):
+    r = random.Random(6)
+    event, marker = "event_id bigint, ts timestamp", "event_id bigint, marked_at timestamp"
+    events = [(i, after(r.randrange(600))) for i in range(40)] + [(99, after(4000))]
+    markers = [(i, t + dt.timedelta(seconds=r.randrange(-50, 900))) for i, t in events for _ in range(r.randrange(4))]
+    markers = [m for m in markers if START <= m[1] < after(2000)] + [(77, after(30)), (98, after(4000))]
+    changes = relay.dispatch_changes(
+        write_files(spark, tmp_path / "e", events, event, 3, lambda x: x[1]),
+        write_files(spark, tmp_path / "m", markers, marker, 3, lambda x: x[1]),
+        ttl_seconds=100, lateness="30 minutes",
+    )
+    out = str(tmp_path / "out")
+    writer = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(changes.schema).parquet(out)
+    e, m = spark.createDataFrame(events, event), spark.createDataFrame(markers, marker)
+    returned = 0
+    for seconds in (0, 100, 333, 599, 700, 1000, 1500, 2099):
+        as_of = F.lit(after(seconds))
+        want = {x.event_id for x in V.undispatched(e.where(F.col("ts") <= as_of), m, as_of, ttl_seconds=100).collect()}
+        assert {x.event_id for x in V.undispatched_at(told, as_of).collect()} == want, seconds
+        returned += len(want)
+    assert returned > 100 and told.where("undispatched").count() > 45
+
+
+def test_order_does_not_depend_on_chunks(spark, tmp_path, small_chunks):
+    r = random.Random(8)
+    events = [(i, r.choice("aab"), after(r.randrange(3000))) for i in range(150)]
+    schema = "event_id bigint, k string, ts timestamp"
+    accepted = idempotency.publish_stream(
+        write_files(spark, tmp_path / "in", events, schema, 2, lambda x: x[2]), ["k"], ttl_seconds=60
+    )
+    out = str(tmp_path / "out")
+    drain(spark, accepted.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+    want = V.dedup_ttl(spark.createDataFrame(events, schema), ["k"], ttl_seconds=60)
+    got = spark.read.schema(accepted.schema).parquet(out)
+    assert {x.event_id for x in got.collect()} == {x.event_id for x in want.collect()}
+    tries = [(m, t, r.random() < 0.25) for m in "pqrstu" for t in range(7)]
+    schema = "message string, tick bigint, ok boolean"
+    steps = relay.relay_stream(
+        write_files(spark, tmp_path / "in2", tries, schema, 2, lambda x: x[1]), ["message"], ["tick"]
+    )
+    out = str(tmp_path / "out2")
+    drain(spark, steps.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp2")))
+    columns = ["message", "tick", "delivery", "effect"]
+    want = V.relay_steps(spark.createDataFrame(tries, schema), ["message"], ["tick"], "ok").select(*columns)
+    got = spark.read.schema(steps.schema).parquet(out).select(*columns)
+    report = lambda df: {tuple(x) for x in V.relay_report(df, F.col("tick")).collect()}
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()} and report(got) == report(want)

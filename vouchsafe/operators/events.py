@@ -171,6 +171,12 @@ def undispatched(
     return events.join(live_markers(markers, as_of, ttl_seconds), "event_id", "left_anti")
 
 
+def undispatched_at(changes: DataFrame, as_of: Column) -> DataFrame:
+    """The ids of the events that lacked a live marker at ``as_of``, from the stream's changes up to then."""
+    latest = changes.where(F.col("at") <= as_of).groupBy("event_id").agg(F.max_by("undispatched", "at").alias("_waits"))
+    return latest.where("_waits").select("event_id")
+
+
 def claim_batch(
     backlog: DataFrame,
     fresh: DataFrame,

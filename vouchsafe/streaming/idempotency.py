@@ -22,8 +22,8 @@ MOMENT = "moment_micros"
 class FirstWins(StatefulProcessor):
     """Keeps, per key, when its lock was taken.
 
-    Duplicates do not touch the state, so they do not extend the lock. Rows of a
-    key pass through in Arrow batches, so a hot key needs no memory of its own.
+    Duplicates do not touch the state, so they do not extend the lock. A key's rows of
+    one micro-batch are ordered together; the source's limit per trigger bounds them.
     """
 
     def __init__(self, ttl_seconds: int, state_ttl_seconds: int, event_id: str):
@@ -38,17 +38,17 @@ class FirstWins(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         taken = self.lock.get()[0] if self.lock.exists() else None
         before = taken
-        for chunk in rows:
-            chunk = chunk.sort_values([MOMENT, self.event_id], kind="stable")
-            moments = chunk[MOMENT].to_numpy()
-            accepted = []
-            at = 0 if taken is None else int(np.searchsorted(moments, taken + self.ttl))
-            while at < len(moments):
-                accepted.append(at)
-                taken = int(moments[at])
-                at = max(at + 1, int(np.searchsorted(moments, taken + self.ttl)))
-            if accepted:
-                yield chunk.iloc[accepted].drop(columns=MOMENT)
+        # In order of time within the batch, wherever Arrow cut it; what the lock covers already is not kept.
+        chunks = [c if taken is None else c[c[MOMENT] >= taken + self.ttl] for c in rows]
+        batch = pd.concat(chunks).sort_values([MOMENT, self.event_id], kind="stable")
+        moments = batch[MOMENT].to_numpy()
+        accepted, at = [], 0
+        while at < len(moments):
+            accepted.append(at)
+            taken = int(moments[at])
+            at = max(at + 1, int(np.searchsorted(moments, taken + self.ttl)))
+        if accepted:
+            yield batch.iloc[accepted].drop(columns=MOMENT)
         if taken != before:
             self.lock.update((taken,))
 

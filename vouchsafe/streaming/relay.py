@@ -31,22 +31,24 @@ class Deliveries(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done, over = self.state.get() if self.state.exists() else (0, False)
         before = (done, over)
+        # An attempt after the allowed number ends the message, so no more can count.
+        left = 0 if over else self.max_deliveries + 1 - done
+        first = None
         for chunk in rows:
-            if over:
-                continue
-            # An attempt after the allowed number ends the message, so no more can count.
-            left = self.max_deliveries + 1 - done
-            chunk = chunk.sort_values(self.order, kind="stable").head(left)
-            delivery = done + 1 + np.arange(len(chunk))
+            # the first attempts of the whole batch, wherever Arrow cut it
+            first = chunk if first is None else pd.concat([first, chunk])
+            first = first.sort_values(self.order, kind="stable").head(left)
+        if left and first is not None:
+            delivery = done + 1 + np.arange(len(first))
             effect = np.where(
                 delivery > self.max_deliveries,
                 DEAD_LETTERED,
-                np.where(chunk[self.ok].to_numpy(), DISPATCHED, PENDING),
+                np.where(first[self.ok].to_numpy(), DISPATCHED, PENDING),
             )
             ends = np.nonzero(effect != PENDING)[0]
-            taken = int(ends[0]) + 1 if len(ends) else len(chunk)
+            taken = int(ends[0]) + 1 if len(ends) else len(first)
             done, over = done + taken, bool(len(ends))
-            yield chunk.head(taken).assign(delivery=delivery[:taken], effect=effect[:taken])
+            yield first.head(taken).assign(delivery=delivery[:taken], effect=effect[:taken])
         if (done, over) != before:
             self.state.update((done, over))
 
@@ -74,6 +76,96 @@ def relay_stream(
     )
 
 
+class MarkerLifetimes(StatefulProcessor):
+    """Whether an event lacks a live marker, told at each moment at which that changes.
+
+    Timers at an event's time, and at the beginning and end of each marker, fire once the watermark has
+    passed them, so that all markers of that moment are known.
+    """
+
+    def __init__(self, ttl_seconds: int, forget_seconds: int):
+        self.ttl, self.forget = ttl_seconds * 1_000_000, forget_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        moments = T.StructType([T.StructField("at", T.LongType())])
+        told = T.StructType([T.StructField("at", T.LongType()), T.StructField("waits", T.BooleanType())])
+        self.event = handle.getValueState("event", moments)
+        self.marks = handle.getListState("marks", moments)
+        self.told = handle.getValueState("told", told)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            for is_mark, at in zip(chunk["is_mark"].tolist(), chunk["moment_micros"].tolist()):
+                if is_mark:
+                    self.marks.appendValue((at,))
+                    self._wake(at)
+                    self._wake(at + self.ttl)
+                elif not self.event.exists() or at < self.event.get()[0]:
+                    self.event.update((at,))
+                    self._wake(at)
+        return iter(())
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))  # milliseconds, not before the moment
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        marks = sorted(m[0] for m in self.marks.get())
+        last, waits = self.told.get() if self.told.exists() else (None, None)
+        if self.event.exists():
+            begin = self.event.get()[0]
+            changes = {begin, *marks, *(m + self.ttl for m in marks)}
+            told = []
+            for at in sorted(c for c in changes if begin <= c <= until and (last is None or c > last)):
+                now = not any(m <= at < m + self.ttl for m in marks)
+                last = at
+                if now != waits:
+                    waits = now
+                    told.append((key[0], at, now))
+            if last is not None:
+                self.told.update((last, waits))
+            if told:
+                yield pd.DataFrame(told, columns=["event_id", "at", "undispatched"])
+        # a marker is needed until it has ended; an event until it has been served and forgotten
+        kept = [m for m in marks if m + self.ttl > until]
+        if len(kept) < len(marks):
+            self.marks.put([(m,) for m in kept]) if kept else self.marks.clear()
+        if last is not None and not kept:
+            if last + self.forget <= until:
+                self.event.clear()
+                self.told.clear()
+            else:
+                self._wake(last + self.forget)
+
+    def close(self) -> None:
+        pass
+
+
+def dispatch_changes(
+    events: DataFrame, markers: DataFrame, at: str = "ts", ttl_seconds: int = Settings().dispatch_ttl_seconds,
+    lateness: str = "10 minutes", forget_seconds: int = 30 * Settings().dispatch_ttl_seconds,
+) -> DataFrame:
+    """``event_id, at, undispatched``: when each event came to lack a live marker, got one, and lacked one again.
+
+    A marker lives for ``ttl_seconds``, each on its own. ``operators.events.undispatched_at`` reads the state of any
+    moment from the changes. An event of which nothing was heard for ``forget_seconds`` is no longer followed.
+    """
+
+    def timed(rows: DataFrame, column: str, is_mark: bool) -> DataFrame:
+        return rows.select(
+            "event_id", F.lit(is_mark).alias("is_mark"), F.col(column).cast("timestamp").alias("_at")
+        ).withWatermark("_at", lateness)
+
+    both = timed(events, at, False).unionByName(timed(markers, "marked_at", True))
+    rows = both.select("event_id", "is_mark", F.unix_micros("_at").alias("moment_micros"), "_at")
+    id_type = events.schema["event_id"].dataType.simpleString()
+    changes = rows.groupBy("event_id").transformWithStateInPandas(
+        MarkerLifetimes(ttl_seconds, forget_seconds), f"event_id {id_type}, at long, undispatched boolean", "Append", "EventTime"
+    )
+    return changes.withColumn("at", F.timestamp_micros("at"))
+
+
 def undispatched_stream(
     events: DataFrame, markers: DataFrame, at: str = "ts", wait: str = "1 hour",
     lateness: str = "10 minutes",
