@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vouchsafe.functions.identifiers import route_template
 from vouchsafe.operators import audit as A
 from vouchsafe.operators import events as V
+from vouchsafe.operators import windows as W
 from vouchsafe.operators import ledger as L
 from vouchsafe.plans import bindings as B
 from vouchsafe.plans.registry import query
@@ -334,6 +335,49 @@ def route_template_counts(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- windows
+
+# Events are taken to arrive half an hour later for each unit of their value, and in hourly batches.
+_DELAY = 1_800_000_000
+_ARRIVALS_SQL = f"""a AS (
+  SELECT *, CAST(floor((epoch_us(ts) + CAST(floor(value * {_DELAY}) AS BIGINT)) / 3600000000) AS BIGINT) AS batch FROM events),
+marks AS (
+  SELECT batch, max(seen) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 12 HOUR AS mark
+  FROM (SELECT batch, max(ts) AS seen FROM a GROUP BY 1))"""
+
+
+def _arriving(spark, sf_dir):
+    delay = F.floor(F.col("value") * _DELAY)
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + delay
+    return B.table(spark, sf_dir, "events").withColumn("batch", F.floor(arrival / 3_600_000_000))
+
+
+@query(
+    f"""WITH {_ARRIVALS_SQL},
+judged AS (
+  SELECT a.*, time_bucket(INTERVAL 6 HOUR, ts) AS window_start,
+    coalesce(time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= mark, false) AS late FROM a JOIN marks USING (batch))
+SELECT event_type, window_start, count(*) FILTER (NOT late) AS n, min(value) FILTER (NOT late) AS least,
+  max(value) FILTER (NOT late) AS greatest, count(*) FILTER (late) AS n_late FROM judged GROUP BY 1, 2"""
+)
+def event_windows_late(spark, sf_dir):
+    """Six-hour windows by type: rows whose window had ended when they arrived count apart."""
+    return W.tumbling_windows(
+        _arriving(spark, sf_dir), ["event_type"], "ts", "value", "batch", width_seconds=6 * 3600, lateness_seconds=12 * 3600
+    )
+
+
+@query(
+    """WITH e AS (
+  SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOUR, true) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, max(value) AS greatest FROM s GROUP BY user_id, session"""
+)
+def event_sessions(spark, sf_dir):
+    """Each user's sessions: events that follow each other in less than eight hours."""
+    return W.session_windows(B.table(spark, sf_dir, "events"), ["user_id"], "ts", "value", gap_seconds=8 * 3600)
+
+
 # ---------------------------------------------------------------- events
 
 
