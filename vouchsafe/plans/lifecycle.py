@@ -66,6 +66,14 @@ class Run:
         return small_frame(spark, rows, "ord INT, stage STRING, status STRING, metrics STRING")
 
 
+def decision_row(dataset, version_id, decision, source, target, reason, summary) -> dict[str, Any]:
+    return {
+        "dataset": dataset, "version_id": version_id, "decision": decision, "from_target": source,
+        "to_target": target, "reason": reason, "gate_summary": summary,
+        "decided_at": datetime.now(timezone.utc).replace(tzinfo=None),
+    }
+
+
 class GovernancePlane:
     """Runs versions and answers questions about what they left behind."""
 
@@ -186,17 +194,18 @@ class GovernancePlane:
             "pipeline": "lifecycle", "trigger_type": run.trigger, "status": "ingested",
             "record_count": None, "schema_hash": None, "created_at": now, "updated_at": now,
         }
+
+        def unless_known() -> list[dict[str, Any]]:
+            versions = self.zones.table("dataset_versions")
+            return [row] if versions.where(F.col("version_id") == run.version_id).isEmpty() else []
+
         with self.zones.lock:
-            known = self.zones.table("dataset_versions").where(
-                F.col("version_id") == run.version_id
-            )
-            if known.isEmpty():
-                self.zones.append("dataset_versions", [row])
+            self.zones.append("dataset_versions", unless_known)
 
     def _status(self, version_id: str, *changes: dict[str, Any]) -> None:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         rows = [{"version_id": version_id, "at": now, **change} for change in changes]
-        self.zones.append("transitions", rows, "seq")
+        self.zones.append("transitions", rows)
 
     def _validate(self, run: Run, batch: Batch, validated: DataFrame):
         summary = C.validation_summary(validated).first()
@@ -292,15 +301,15 @@ class GovernancePlane:
         checks = G.gate_suite(one, inputs, batch.key, self.settings.gates)
         verdict = G.gate_summary(G.verdict(checks), F.lit(run.version_id)).first()
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        reported = self.reports().where(F.col("version_id") == run.version_id)
-        if reported.isEmpty():
-            self.zones.append(
-                "quality_reports",
-                [
-                    {"version_id": run.version_id, "created_at": now, **row.asDict()}
-                    for row in checks.drop("ord").collect()
-                ],
-            )
+        report = [
+            {"version_id": run.version_id, "created_at": now, **row.asDict()}
+            for row in checks.drop("ord").collect()
+        ]
+
+        def unless_reported() -> list[dict[str, Any]]:
+            return report if self.reports().where(F.col("version_id") == run.version_id).isEmpty() else []
+
+        self.zones.append("quality_reports", unless_reported)
         self._status(
             run.version_id,
             {"status": "enriched", "record_count": rows}, {"status": "embedded"}, {"status": "gated"},
@@ -321,21 +330,26 @@ class GovernancePlane:
                 "vector", F.col("vector").cast("array<float>")
             )
             self.zones.write_collection(dataset, version_id, points)
+        reason = (
+            L.ALL_PASSED if run.passed
+            else "failed gates: " + ", ".join(verdict["failed_checks"])
+        )
+        run.decision = model.PROMOTED if run.passed else model.REJECTED
+
+        def unless_decided() -> list[dict[str, Any]]:
+            """The decision, on what serves now; none if another run of the version decided meanwhile."""
+            if self._decided(version_id):
+                return []
+            target = version_id if run.passed else None
+            return [decision_row(dataset, version_id, run.decision, self.serving(dataset), target, reason,
+                                 verdict["gate_summary"])]
+
         with self.zones.lock:
-            decided = self._decided(version_id)
-            if decided:  # by another run of the same version, meanwhile
-                self._recorded(run, decided)
+            committed = self.zones.append("promotions", unless_decided)
+            if not committed:
+                self._recorded(run, self._decided(version_id))
                 return
-            previous = self.serving(dataset)
-            reason = (
-                L.ALL_PASSED if run.passed
-                else "failed gates: " + ", ".join(verdict["failed_checks"])
-            )
-            run.decision = model.PROMOTED if run.passed else model.REJECTED
-            self._append_decision(
-                dataset, version_id, run.decision, previous,
-                version_id if run.passed else None, reason, verdict["gate_summary"],
-            )
+            previous = committed[0]["from_target"]
             if run.passed:
                 self.apply_retention(dataset, previous)
         self._status(version_id, {"status": run.decision})
@@ -347,19 +361,6 @@ class GovernancePlane:
         run.reports["promotion_decision"] = metrics
         run.note("promote", "done" if run.passed else "skipped", **metrics)
 
-    def _append_decision(self, dataset, version_id, decision, source, target, reason, summary):
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        self.zones.append(
-            "promotions",
-            [
-                {
-                    "dataset": dataset, "version_id": version_id, "decision": decision,
-                    "from_target": source, "to_target": target, "reason": reason,
-                    "gate_summary": summary, "decided_at": now,
-                }
-            ],
-        )
-
     def apply_retention(self, dataset: str, previous: str | None = None) -> list[str]:
         """Drop collections beyond the retention window and name them.
 
@@ -382,13 +383,20 @@ class GovernancePlane:
 
     def rollback(self, dataset: str, reason: str = "manual rollback") -> dict[str, Any]:
         """Serve the version promoted before the current one, if its collection still exists."""
-        with self.zones.lock:
+
+        def to_previous() -> list[dict[str, Any]]:
             mine = self.promotions().where(F.col("dataset") == dataset)
             found = L.rollback_targets(mine, self.zones.live_collections(dataset)).first()
             if not found or not found["target_version"]:
-                return {"decision": model.ROLLBACK_FAILED, "reason": L.NO_LIVE_PREVIOUS}
+                return []
             left, target = found["current_version"], found["target_version"]
-            self._append_decision(dataset, target, model.ROLLED_BACK, left, target, reason, "{}")
+            return [decision_row(dataset, target, model.ROLLED_BACK, left, target, reason, "{}")]
+
+        with self.zones.lock:
+            committed = self.zones.append("promotions", to_previous)
+        if not committed:
+            return {"decision": model.ROLLBACK_FAILED, "reason": L.NO_LIVE_PREVIOUS}
+        left, target = committed[0]["from_target"], committed[0]["to_target"]
         self._status(left, {"status": model.ROLLED_BACK})
         return {"decision": model.ROLLED_BACK, "now_serving": target, "previous": left}
 

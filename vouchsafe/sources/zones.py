@@ -10,7 +10,7 @@ import json
 import threading
 from collections import defaultdict
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vouchsafe import model
 from vouchsafe.session import small_frame
-
+from vouchsafe.sources.commits import CommitLog
 
 _LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
@@ -27,10 +27,11 @@ _LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 class Zones:
     spark: SparkSession
     base: str
+    _logs: dict[str, CommitLog] = field(default_factory=dict)
 
     @property
     def lock(self) -> threading.RLock:
-        """Ledger ids are handed out one at a time: all planes on a base folder share its lock."""
+        """Planes on a base folder in one driver take turns, which saves attempts; commits are safe without."""
         return _LOCKS[self.base.rstrip("/")]
 
     # ------------------------------------------------------------ files
@@ -128,19 +129,18 @@ class Zones:
             return small_frame(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def log(self, name: str) -> CommitLog:
+        if name not in self._logs:
+            ids = REGISTRY[name].split()[0]  # a registry table's id is its first column
+            self._logs[name] = CommitLog(self.spark, self.path("registry", name), REGISTRY[name], ids)
+        return self._logs[name]
+
     def table(self, name: str) -> DataFrame:
-        return self._read(self.path("registry", name), REGISTRY[name])
-
-    def append(self, name: str, rows: Iterable[dict[str, Any]], id_column: str = "id") -> None:
-        """Append a few rows as one file; its commit is the moment they exist."""
-        rows = list(rows)
-        if not rows:
-            return
-        with self.lock:
-            last = self.table(name).agg(F.max(id_column)).first()[0] or 0
-            numbered = [{**row, id_column: last + 1 + i} for i, row in enumerate(rows)]
-            frame = small_frame(self.spark, numbered, REGISTRY[name])
-            frame.coalesce(1).write.mode("append").parquet(self.path("registry", name))
+        return self.log(name).rows()
+
+    def append(self, name: str, rows: Iterable[dict[str, Any]] | Callable[[], list[dict[str, Any]]]) -> list[dict[str, Any]]:
+        """Commit a few rows, or those that a function makes of the present tables; see ``CommitLog.append``."""
+        return self.log(name).append(rows)
 
 
 # The registry tables and their schemas.
