@@ -68,7 +68,7 @@ def test_search_ties_go_to_the_lower_id(spark):
     assert [r["id"] for r in S.search(points, [1.0, 0.0], 3).collect()] == [0, 2, 4]
 
 
-@pytest.mark.parametrize("limit", [S.MAX_BROADCAST_BYTES, 8 * 4 * 3])
+@pytest.mark.parametrize("limit", [S.TILE_BYTES, 8 * 4 * 30, 8 * 4])
 def test_search_many_equals_brute_force(spark, limit):
     rng = np.random.default_rng(1)
     corpus = rng.integers(-2, 3, (300, 4)).astype(float)
@@ -80,14 +80,23 @@ def test_search_many_equals_brute_force(spark, limit):
         [(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "query_id STRING, query_vector ARRAY<DOUBLE>"
     )
     got = {}
-    for r in S.search_many(points, asked, 7, max_broadcast_bytes=limit).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    for r in S.search_many(points, asked, 7, tile_bytes=limit).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["id"])
     unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
     scores = unit(queries) @ unit(corpus).T
     for i in range(len(queries)):
-        best = np.sort(scores[i])[::-1][:7]
-        assert np.allclose([got[f"q{i}"][k + 1] for k in range(7)], best)
+        best = sorted(((-round(x, 9), j) for j, x in enumerate(scores[i])))[:7]
+        assert [got[f"q{i}"][k + 1][1] for k in range(7)] == [j for _, j in best]
+        assert np.allclose([got[f"q{i}"][k + 1][0] for k in range(7)], [-x for x, _ in best])
     assert S.search_many(points, asked.limit(0), 7).count() == 0
+    assert S.search_many(points.limit(0), asked, 7).count() == 0
+
+
+def test_points_that_share_an_id_are_points_of_their_own(spark):
+    schema = "id LONG, title STRING, vector ARRAY<DOUBLE>"
+    points = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (2, "c", [1.0, 1.0]), (None, "d", [1.0, 0.1])], schema)
+    assert [(r["title"], round(r["score"], 3)) for r in S.search(points, [1.0, 0.0], 3).collect()] == [
+        ("a", 1.0), ("d", 0.995), ("c", 0.707)]
 
 
 def test_similar_texts_are_closer():

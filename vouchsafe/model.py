@@ -57,3 +57,7 @@ TRANSITIONS = (
     "seq BIGINT, version_id STRING, status STRING, record_count BIGINT, schema_hash STRING,"
     " at TIMESTAMP"
 )
+BUS_EVENTS = (
+    "id BIGINT, event_id STRING, type STRING, dataset STRING, object_key STRING, source_uri STRING, pipeline STRING,"
+    " record_count BIGINT, trigger_type STRING, idempotency_key STRING, at TIMESTAMP"
+)

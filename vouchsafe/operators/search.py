@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from vouchsafe.functions.vectors import cosine_to, matrix, unit_rows
 
-# A block of query vectors is broadcast to every task; this bounds its size.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of vectors in a tile, of points as of queries; a task holds one of each.
+TILE_BYTES = 16 * 1024 * 1024
+#: Scores are rounded before they are ranked, so that equal vectors tie whatever block they were multiplied in.
+DIGITS = 9
 
 
 def positions(df: DataFrame, order: list[str]) -> tuple[DataFrame, str]:
@@ -54,18 +54,16 @@ def search(
 ) -> DataFrame:
     """The ``k`` best points for one vector. Each task keeps its own ``k`` best.
 
-    Only ids and vectors are scored; the other columns are looked up for the ``k`` found, whose
-    number bounds what is broadcast.
+    Only ids and vectors are scored at first; the other columns are read for the at most ``k`` ids found. Points
+    may share an id: those are scored again and ranked like all others.
     """
     shown = [c for c in points.columns if c not in (vector_col, id_col)]
-    best = (
-        points.select(id_col, cosine_to(F.col(vector_col), query).alias("score"))
-        .orderBy(F.desc("score"), F.asc(id_col))
-        .limit(k)
-    )
+    score = cosine_to(F.col(vector_col), query).alias("score")
+    best = points.select(id_col, score).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
     if shown:
-        best = points.select(id_col, *shown).join(F.broadcast(best), id_col)
-    return best.select(id_col, *shown, "score").orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+        found = points.join(F.broadcast(best.select(id_col).distinct()), points[id_col].eqNullSafe(best[id_col]), "left_semi")
+        best = found.select(id_col, *shown, score).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+    return best.select(id_col, *shown, "score")
 
 
 def search_many(
@@ -76,36 +74,67 @@ def search_many(
     vector_col: str = "vector",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
-    """The ``k`` best points for each of many vectors.
+    """The ``k`` best points for each of many vectors: ``query_id, id, score, rank``.
 
-    Queries go to the tasks in blocks of bounded size. A task scores its points
-    against a block batch by batch and keeps ``k`` per query, so no pair list ever
-    exists. More queries mean more blocks, each a pass over the points.
+    Points and queries are dealt into tiles of bounded size, and each pair of tiles is a task that multiplies two
+    matrices and keeps ``k`` per query; a window merges what the tiles kept. Vectors never pass the driver. The
+    smaller side is copied once for each tile of the other.
     """
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(query_vector)).alias("dim")
-    ).first()
-    if not size["n"]:
-        return _empty_result(points, queries, id_col, query_id)
-    per_block = max(1, max_broadcast_bytes // (8 * size["dim"]))
-    blocks = math.ceil(size["n"] / per_block)
-    # Hashing fills blocks unevenly; a spare block in eight keeps the fullest within bounds.
-    blocks += blocks // 8 if blocks > 1 else 0
-    block_of = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    results = [
-        _block_candidates(points, queries.where(block_of == b), k, id_col, vector_col,
-                          query_id, query_vector, size["dim"])
-        for b in range(blocks)
-    ]
-    candidates = results[0]
-    for more in results[1:]:
-        candidates = candidates.unionAll(more)
+    dim = queries.agg(F.max(F.size(query_vector))).first()[0]
+    per_tile = max(1, tile_bytes // (8 * max(dim or 0, 1)))
+    point_tiles, query_tiles = (max(1, -(-df.count() // per_tile)) for df in (points, queries))
+
+    def dealt(df: DataFrame, name: Column, vector: str, own: int, other: int, this: str, that: str) -> DataFrame:
+        tile = F.pmod(F.xxhash64(name, F.col(vector)), F.lit(own)).cast("int")
+        return df.select(
+            name.alias("_name"), F.col(vector).cast("array<double>").alias("_vector"), tile.alias(this),
+            F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(that),
+        )
+
+    left = dealt(points, F.col(id_col), vector_col, point_tiles, query_tiles, "_p", "_q")
+    right = dealt(queries, F.col(query_id), query_vector, query_tiles, point_tiles, "_q", "_p")
+    schema = _result_schema(points, queries, id_col, query_id)
+    names = [query_id, id_col, "score"]
+
+    def best_of_tiles(tile_points: pa.Table, tile_queries: pa.Table) -> pa.Table:
+        ids, keys = tile_points["_name"], tile_queries["_name"]
+        if not len(ids) or not len(keys):
+            kept, of, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            units, wanted = (unit_rows(matrix(t["_vector"].combine_chunks(), dim)) for t in (tile_points, tile_queries))
+            order = np.argsort(np.array(pc.rank(ids.combine_chunks(), sort_keys="ascending", tiebreaker="first")))
+            kept, of, scores = _best(units[order], wanted, k)
+            kept = order[kept]
+        return pa.table([keys.take(pa.array(of)), ids.take(pa.array(kept)), pa.array(scores)], names=names)
+
+    candidates = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInArrow(best_of_tiles, schema)
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _best(units: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query the ``k`` best of units that stand in the order of their ids: their places, the query, the score."""
+    kept, of, scores = [], [], []
+    step = max(1, (1 << 22) // len(units))
+    for start in range(0, len(wanted), step):
+        block = np.round(wanted[start : start + step] @ units.T, DIGITS)
+        bars = np.full(len(block), -np.inf)
+        if len(units) > k:
+            bars = np.partition(block, len(units) - k, axis=1)[:, len(units) - k]
+        # all that reach the k-th best, ties included; then k of each query by score and place
+        query, place = np.nonzero(block >= bars[:, None])
+        order = np.lexsort((place, -block[query, place], query))
+        query, place = query[order], place[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        query, place = query[rank < k], place[rank < k]
+        kept.append(place)
+        of.append(query + start)
+        scores.append(block[query, place])
+    return np.concatenate(kept), np.concatenate(of), np.concatenate(scores)
+
+
 def _result_schema(points: DataFrame, queries: DataFrame, id_col: str, query_id: str) -> str:
     return (
         f"{query_id} {queries.schema[query_id].dataType.simpleString()},"
@@ -113,59 +142,6 @@ def _result_schema(points: DataFrame, queries: DataFrame, id_col: str, query_id:
     )
 
 
-def _empty_result(points, queries, id_col, query_id) -> DataFrame:
-    schema = _result_schema(points, queries, id_col, query_id) + ", rank int"
-    return points.sparkSession.createDataFrame([], schema)
-
-
-def _block_candidates(
-    points, block, k, id_col, vector_col, query_id, query_vector, dim
-) -> DataFrame:
-    rows = block.select(query_id, query_vector).orderBy(query_id).collect()
-    names = [row[0] for row in rows]
-    values = np.array([row[1] for row in rows], dtype=np.float64).reshape(-1, dim)
-    sent = points.sparkSession.sparkContext.broadcast((names, unit_rows(values)))
-    schema = _result_schema(points, block, id_col, query_id)
-    narrow = points.select(F.col(id_col), F.col(vector_col))
-    key_type = to_arrow_type(block.schema[query_id].dataType)
-
-    def best_of_partition(batches):
-        keys, units = sent.value
-        best = [[] for _ in keys]  # per query, (minus score, id), best first
-        id_type = None
-        for batch in batches:
-            ids = batch.column(0)
-            id_type = ids.type
-            scores = units @ unit_rows(matrix(batch.column(1), dim)).T
-            # Only what reaches the k-th best so far, ties included, can matter.
-            bars = np.array([-kept[-1][0] if len(kept) == k else -np.inf for kept in best])
-            if len(ids) > k:
-                here = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-                bars = np.maximum(bars, here)
-            query_of, near = np.nonzero(scores >= bars[:, None])
-            found = zip(
-                query_of.tolist(), (-scores[query_of, near]).tolist(),
-                ids.take(pa.array(near)).to_pylist(),
-            )
-            for q, negated, ident in found:
-                best[q].append((negated, ident))
-            for kept in best:
-                kept.sort()
-                del kept[k:]
-        for key, kept in zip(keys, best):
-            if kept:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key] * len(kept), key_type),
-                        pa.array([ident for _, ident in kept], id_type),
-                        pa.array([-negated for negated, _ in kept]),
-                    ],
-                    names=[query_id, id_col, "score"],
-                )
-
-    return narrow.mapInArrow(best_of_partition, schema)
-
-
 def present(hits: DataFrame, score: str = "score") -> DataFrame:
     """Hits as they are shown: score to four digits, internal fields left out."""
     shown = [c for c in hits.columns if not c.startswith("_") and c != score]

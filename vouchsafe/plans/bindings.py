@@ -26,7 +26,7 @@ def ntz(text: str) -> Column:
 
 # Reports are made as of a fixed time; the data ends there.
 LEDGER_AS_OF = "2001-08-01 00:00:00"
-REPORTS_AS_OF = "1998-11-01 00:00:00"
+REPORTS_AS_OF = "2001-11-04 00:00:00"
 EVENTS_AS_OF = "2024-01-30 00:00:00"
 
 

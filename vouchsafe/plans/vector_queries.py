@@ -135,7 +135,7 @@ def topk_search(spark, sf_dir):
 scored AS (
   SELECT query_id, vec_id, {_COSINE.format('embedding', 'e')} AS s FROM embeddings, queries),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM scored)
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score
 FROM ranked WHERE rank <= 5"""
 )
@@ -167,8 +167,8 @@ scored AS (
   SELECT q.item_id AS query_id, s.doc_id, sum(q.weight * s.weight) AS s
   FROM q JOIN sparse s USING (idx) GROUP BY 1, 2),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scored)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM ranked WHERE rank <= 3"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM scored)
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM ranked WHERE rank <= 3"""
 )
 def text_search(spark, sf_dir):
     """Every benchmark passage is searched for among all documents."""
@@ -180,7 +180,7 @@ def text_search(spark, sf_dir):
         F.col("item_id").alias("query_id"), F.col("_vector").alias("query_vector")
     )
     hits = S.search_many(documents, queries, 3, "doc_id", "_vector")
-    return hits.select("query_id", "rank", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("SELECT label, count(*) AS points FROM embeddings GROUP BY 1")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -59,8 +60,23 @@ class Zones:
             return []
         return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isDirectory())
 
+    def files(self, path: str) -> list[str]:
+        """Names of the files directly below a path."""
+        system, target = self._file_system(path)
+        return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isFile())
+
+    def make_folder(self, path: str) -> None:
+        system, target = self._file_system(path)
+        system.mkdirs(target)
+
     # ------------------------------------------------------------ staged snapshots
 
+    def spill(self, df: DataFrame, *parts: str) -> DataFrame:
+        """``df``, written once below a folder of the zones and read back."""
+        path = self.path(*parts, uuid.uuid4().hex)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def snapshot(self, version_id: str, stage: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The output of a stage, written once. A finished one is read, an unfinished one redone."""
         path = self.path("staged", version_id, stage)
@@ -150,6 +166,7 @@ REGISTRY = {
     "quality_reports": model.QUALITY_REPORTS,
     "promotions": model.PROMOTIONS,
     "schema_registry": model.SCHEMA_REGISTRY,
+    "bus_events": model.BUS_EVENTS,
 }
 
 
