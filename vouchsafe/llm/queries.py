@@ -118,7 +118,7 @@ def op1_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_held_out() -> Column:
-    return crc32_of("doc_id") % 5 == 0
+    return F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False))
 
 
 @query()
@@ -147,7 +147,7 @@ def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_held_out() -> Column:
-    return crc32_of("doc_id") % 4 == 2
+    return F.coalesce(crc32_of("doc_id") % 4 == 2, F.lit(False))
 
 
 @query()
