@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -430,13 +431,54 @@ def test_listed_pages_count_once_each(spark):
 
 
 def test_index_looks_up_rules_by_their_rarest_token(spark):
-    rules = spark.createDataFrame([(["a", "b"],), (["b", "c"],)], "tokens array<string>")
+    rules = spark.createDataFrame([(["a", "b"],), (["b", "c"],)], "items array<string>")
     counts = spark.createDataFrame([("a", 5), ("b", 2), ("c", 9)], "token string, n bigint")
     same_rows(
-        url_rules.indexed(rules, counts).select(F.array_join("tokens", ""), "token"),
+        url_rules.indexed(rules, counts).select(F.array_join("items", ""), "item"),
         [("ab", "b"), ("bc", "b")],
     )
 
 
+def blocked_by_some_rule(own, kinds, least, confidence):
+    """Whether a url's tokens hold those of a frequent and confident rule; ``kinds`` are (tokens, blocked, count)."""
+    for chosen in range(1, 1 << len(kinds)):
+        common = set(own).intersection(*(t for i, (t, _, _) in enumerate(kinds) if chosen >> i & 1))
+        if common:
+            held = [(blocked, n) for t, blocked, n in kinds if common <= t]
+            bad = sum(n for blocked, n in held if blocked)
+            if bad >= least and bad >= confidence * sum(n for _, n in held):
+                return True
+    return False
+
+
+def test_long_repeated_paths_end_and_equal_a_plain_miner(spark):
+    r = random.Random(12)
+    word = lambda i: "".join(chr(97 + (i * 7 + j * 3) % 26) for j in range(4)) + chr(97 + i % 26)
+    path = "/".join(word(i) for i in range(40))
+    bases = [f"spam.example.net/{path}", f"spam.example.net/{path}/more", "a-b.example.com/de/x/y", "a.example.com/de/x/z/w",
+             "b.example.org/fr/x/y", "b.example.org/fr/q/w/k", "c.example.net/en/z/y", "d.example.net/k/w"]
+    urls = [f"http://{b}" for b in bases for _ in range(r.choice([25, 30, 3]))] + ["http://spam.example.org/x", None]
+    urls += [f"https://open{i}.example.edu/{p}" for i, p in enumerate([path, "x/y", "z/w/k", "/".join(path.split("/")[3:9]), "q", "k/w"])]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    started = time.time()
+    got = {x.page_id: x.verdict for x in url_rules.judged(pages, min_support=0.01).collect()}
+    assert time.time() - started < 90
+    host, where = url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))
+    rule, verdict = url_rules.listed_rule(host, where)
+    rows = pages.select("page_id", url_rules.tokens_of(host, where).alias("t"), verdict.alias("v")).collect()
+    count = {}
+    for x in rows:
+        if x.v:
+            key = (frozenset(x.t), x.v == "block")
+            count[key] = count.get(key, 0) + 1
+    kinds = [(t, b, n) for (t, b), n in count.items()]
+    total = sum(n for _, _, n in kinds)
+    least = math.ceil(max(0.01 * total, url_rules.MIN_URLS) - 1e-9)
+    for x in rows:
+        want = x.v or ("block" if blocked_by_some_rule(x.t, kinds, least, 0.9) else "allow")
+        assert got[x.page_id] == want, urls[x.page_id]
+    assert sum(got[x.page_id] == "block" for x in rows if not x.v) >= 2
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and np.uint64(1)

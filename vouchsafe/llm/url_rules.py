@@ -3,8 +3,9 @@
 A listed rule (host, path) fits its host and all subdomains where the url's path starts with the rule's;
 the longest wins. The other verdicts come from association rules: FP-growth mines combinations of URL
 tokens that go with blocked pages among labelled ones, rules below the least support or confidence are
-pruned, and a url is blocked where all tokens of some rule occur in it. Rules are found by an inverted
-index: each stands under its rarest token, and a url looks up its own tokens.
+pruned, and a url is blocked where all tokens of some rule occur in it. Tokens that always come together are mined
+as one item, as else every choice among the words of a repeated path would be a rule. Rules are found by an inverted
+index: each stands under its rarest item, and a url looks up its own items.
 
 DataFrame functions and Spark's own FP-growth only. Null urls and urls without ``://`` have an empty
 host and path and no tokens, so they are allowed. Repeated rows get equal verdicts. Without labelled
@@ -70,35 +71,70 @@ def tokens_of(host: Column, path: Column) -> Column:
     )
 
 
+def token_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> tuple[DataFrame, int, float]:
+    """``token, item`` of the frequent tokens, the number of labelled urls, and the least support.
+
+    Tokens that occur in exactly the same labelled urls are one item, named after the least of them: they have the
+    same rules, and item sets need not be mined for every choice among them. Equal urls are one kind with a count;
+    that two tokens share all kinds is told by their counts and two sums of the kinds' hashes.
+    """
+    kinds = labelled.where(F.size("tokens") > 0).groupBy("tokens", "blocked").agg(F.count("*").alias("n"))
+    n = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    support = min(1.0, max(min_support, MIN_URLS / n)) if n else 1.0
+    kind = F.xxhash64("tokens", "blocked")
+    tokens = kinds.select("n", kind.alias("kind"), F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.sum("n").alias("n"), F.bit_xor("kind").alias("mixed"), F.sum(F.pmod("kind", F.lit(1 << 31))).alias("total")
+    )
+    same = F.struct("n", "mixed", "total")
+    items = tokens.where(F.col("n") >= support * n).groupBy(same).agg(F.collect_list("token").alias("all"))
+    return items.select(F.explode("all").alias("token"), F.array_min("all").alias("item")), n, support
+
+
+def with_items(rows: DataFrame, key: list[str], classes: DataFrame) -> DataFrame:
+    """``key, items`` of rows with ``tokens``; rows without a frequent token are left out."""
+    single = rows.select(*key, F.explode("tokens").alias("token")).join(classes, "token")
+    return single.groupBy(*key).agg(F.collect_set("item").alias("items"))
+
+
 def mined_rules(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
-) -> DataFrame:
-    """(tokens, confidence, support) of rules "all these tokens, so blocked".
+) -> tuple[DataFrame, DataFrame]:
+    """(items, confidence, support) of rules "all these items, so blocked", and ``token_classes``.
 
     ``labelled`` has (tokens, blocked). A rule whose part is already a rule stays; it adds nothing.
     """
-    items = labelled.select(
-        F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED)))
-        .otherwise(F.col("tokens")).alias("items")
-    ).where(F.size("items") > 0)
-    n = items.count()
+    classes, n, support = token_classes(labelled, min_support)
+    spark = labelled.sparkSession
     if not n:
-        return labelled.sparkSession.createDataFrame(
-            [], "tokens array<string>, confidence double, support double"
-        )
-    support = min(1.0, max(min_support, MIN_URLS / n))
+        return spark.createDataFrame([], "items array<string>, confidence double, support double"), classes
+    classes = settle(classes, "classes")
+    kinds = labelled.groupBy("tokens", "blocked").agg(F.count("*").alias("n")).withColumn(
+        "kind", F.xxhash64("tokens", "blocked")
+    )
+    single = kinds.select("kind", "blocked", "n", "tokens")
+    named = with_items(single, ["kind", "blocked", "n"], classes)
+    # urls without a frequent token count for the support, and their label for the rule without tokens
+    rest = single.join(named.select("kind"), "kind", "left_anti").where(F.size("tokens") > 0).select(
+        "kind", "blocked", "n", F.array().cast("array<string>").alias("items")
+    )
+    items = F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(
+        F.when(F.size("items") > 0, F.col("items")).otherwise(F.array(F.lit("")))
+    )
+    urls = named.unionByName(rest).select(items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("n"))))
     miner = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence)
-    found = miner.fit(items).associationRules
-    return found.where(F.array_contains("consequent", BLOCKED)).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"
+    found = miner.fit(urls.select("items")).associationRules
+    rules = found.where(F.array_contains("consequent", BLOCKED)).select(
+        F.array_sort("antecedent").alias("items"), "confidence", "support"
     )
+    return rules, classes
 
 
 def indexed(rules: DataFrame, counts: DataFrame) -> DataFrame:
-    """The inverted index: each rule under its rarest token, by how many urls hold the token."""
-    parts = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token", "left")
-    return parts.groupBy("tokens").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")
+    """The inverted index: each rule under its rarest item, by how many urls hold the token that names it."""
+    counts = counts.withColumnRenamed("token", "item")
+    parts = rules.select("items", F.explode("items").alias("item")).join(counts, "item", "left")
+    return parts.groupBy("items").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item"))["item"].alias("item")
     )
 
 
@@ -133,14 +169,13 @@ def judged(
         more = named.where("listed IS NULL").join(told.where("blocked IS NOT NULL"), "_id")
         examples = examples.unionByName(more.select(tokens_of(host, path).alias("tokens"), "blocked"))
     counts = kinds.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    index = settle(
-        indexed(mined_rules(examples, min_support, min_confidence), counts), "rules"
-    )
-    open_ = kinds.where("listed IS NULL").select("host", "path", "tokens")
+    mined, classes = mined_rules(examples, min_support, min_confidence)
+    index = settle(indexed(mined, counts), "rules")
+    open_ = with_items(kinds.where("listed IS NULL"), ["host", "path"], classes)
     hit = (
-        open_.select("host", "path", F.col("tokens").alias("_own"), F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .where(F.size(F.array_except("tokens", "_own")) == 0)
+        open_.select("host", "path", F.col("items").alias("_own"), F.explode("items").alias("item"))
+        .join(index, "item")
+        .where(F.size(F.array_except("items", "_own")) == 0)
         .select("host", "path", F.lit(True).alias("_hit")).distinct()
     )
     return named.join(hit, ["host", "path"], "left").select(
