@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +62,17 @@ def test_overlaps_widen_until_white_space(monkeypatch):
     assert got == library_ids(text)
 
 
+def test_long_texts_without_spaces_take_time_in_proportion():
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefgh0123,語文字") for _ in range(400_000))
+    took = []
+    for part in (text[:100_000], text):
+        started = time.time()
+        n = counting.token_count(ENCODER, part.encode())
+        took.append(time.time() - started)
+    assert n == len(library_ids(text)) and took[1] < 12 * took[0] + 1
+
+
 def test_counts_of_awkward_documents(spark):
     rows = awkward_rows()
     got = counting.counted(frame(spark, rows), chunk=1 << 10, overlap=64)

@@ -89,18 +89,19 @@ def spliced_ids(
         width = overlap
         while True:
             begin = _cut(text, max(start, end - width))
-            next_end = _cut(text, end + chunk)
+            # a chunk that had to grow is followed by one as long, so that growing takes no more than twice the work
+            next_end = _cut(text, end + max(chunk, end - start))
             following = _encoded(tokenizer, text, begin, next_end)
             found = stable_boundary(text, current, following, end)
             if found and found[0] >= skip:
                 break
             if begin == start:
-                # The whole chunk holds no stable place: it grows to the right instead.
+                # The whole chunk holds no stable place: it doubles to the right instead.
                 end = next_end
                 current = _encoded(tokenizer, text, start, end)
                 found = None
                 break
-            width *= 2
+            width *= 4
         if found is None:
             continue
         yield current[0][skip : found[0]]
