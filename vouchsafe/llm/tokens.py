@@ -20,7 +20,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes that the known chunks of one Python worker may take, in two tables of half as much. When the newer one is
 #: full it becomes the older, from which chunks that are met again move over, and the one before that goes.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 128 << 20
 #: What an entry takes besides the bytes of its chunk and ids: two objects and a place in a dictionary.
 _ENTRY_BYTES = 190
 #: Chunks of a text that are looked up at once.
