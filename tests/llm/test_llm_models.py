@@ -120,3 +120,53 @@ def test_measures_by_hand():
     assert np.isclose(row["repeated_words"], 1 - 3 / 7) and np.isclose(row["repeated_lines"], 1 / 3)
     assert np.isclose(row["mark"], 4 / 7) and np.isclose(row["pipe"], 1 / 7)
     assert text_numbers(np.array([0, 2, 2, 3])).tolist() == [0, 0, 2]
+
+
+def test_passes_of_tasks_add_up_to_those_over_all_rows(spark):
+    texts = [f"{prose(i, 20 + i % 60)}{' ###' * (i % 7)}" for i in range(700)] + ["same text again"] * 300
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)]).repartition(5)
+    table = pu_quality.cell_table(docs, "doc_id", "text")
+    rows = table.collect()
+    half = np.array([r.half for r in rows])
+    cell = np.stack([np.frombuffer(r.cells, np.int16) for r in rows])
+    assert len(rows) == len(texts) and 0.3 < half.mean() < 0.7
+    positive = cell[half == 0][:150]
+    over = pu_quality.passes_over(table)
+    assert (over(lambda h, c: pu_quality.histogram(c)) == pu_quality.histogram(cell)).all()
+    spread = pu_quality.fit_over(positive, over)
+    here = pu_quality.fit_over(positive, lambda kernel: kernel(half, cell))
+    assert abs(spread.prior - here.prior) < 1e-9 and np.allclose(spread.weights, here.weights, atol=1e-6)
+    assert abs(spread.intercept - here.intercept) < 1e-6
+
+
+def test_the_non_negative_risk_is_at_its_least():
+    r = np.random.default_rng(11)
+    k = len(pu_quality.MEASURES)
+    positive = r.normal(0, 1, (400, k))
+    unlabelled = np.concatenate([r.normal(0, 1, (700, k)), r.normal(0, 1, (300, k)) + 2.5 * (np.arange(k) == 3)])
+    p, u, l2 = pu_quality.cells(positive), pu_quality.cells(unlabelled), 1e-3
+    for prior in (0.4, 0.9):  # with the greater prior the part from negatives would fall below zero
+        model = pu_quality.fit(positive, unlabelled, prior=prior, l2=l2, halvings=12)
+
+        def risk(weights, intercept):
+            flat = weights.ravel()
+            zp, zu = (flat[model.places(c)].sum(axis=1) + intercept for c in (p, u))
+            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            return prior * np.logaddexp(0, -zp).mean() + max(0, negative) + l2 / 2 * flat @ flat
+
+        # the intercept is set by the mean score afterwards; the weights are judged at their best one
+        grid = np.linspace(-6, 6, 601)
+        least = min(risk(model.weights, b) for b in grid)
+        for size in (0.02, 0.2):
+            for _ in range(20):
+                moved = model.weights + r.normal(0, size, model.weights.shape)
+                assert min(risk(moved, b) for b in grid[::6]) > least - 1e-3
+        zu = model.weights.ravel()[model.places(u)].sum(axis=1) + model.intercept
+        assert abs((1 / (1 + np.exp(-zu))).mean() - prior) < 0.01
+
+
+def test_cells_keep_the_order_of_measures():
+    x = np.sort(np.concatenate([np.random.default_rng(5).lognormal(0, 4, 5000), [0.0, 1e-9, 1e9], -np.arange(1.0, 50)]))
+    cell = pu_quality.cells(x[:, None])[:, 0].astype(int)
+    assert (np.diff(cell) >= 0).all() and len(np.unique(cell)) > 1500
+    assert pu_quality.cells(np.array([[0.0, 1.0, 1.004]])).tolist()[0][0] == 0
