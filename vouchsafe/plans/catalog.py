@@ -3,6 +3,7 @@
 from vouchsafe.plans import (  # noqa: F401
     gate_queries,
     ledger_queries,
+    sketch_queries,
     validation_queries,
     vector_queries,
 )
