@@ -7,8 +7,8 @@ pre-tokenizer drops white space and never looks across it, so nothing after such
 what is before it, which proves the boundary stable. Where an overlap holds none, it is widened,
 at last up to the end of the text. Memory is bounded by the chunk and its overlap.
 
-Null texts are empty and have no tokens. Repeated rows are counted alike. Extra columns are kept by
-``counted``.
+Null texts are empty and have no tokens. Repeated rows are counted alike. A table without documents
+gives an empty one. Extra columns are kept by ``counted``.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ verified by their exact similarity.
 
 Texts of fewer than five words have one shingle, all their words; texts without words are linked to
 nothing but texts that are equal. Null texts are empty. Equal texts are one node from the start, so a group of
-copies costs one row each. Extra columns are ignored by ``near_duplicates`` and kept by ``deduplicated``.
+copies costs one row each. A table without documents gives an empty one. Extra columns are ignored by ``near_duplicates`` and kept by ``deduplicated``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ it is a few thousand words and weights, and every whole text is scored by it.
 
 Null and empty texts get the score of the intercept. Labels that are null are not learned from; an id
 with several labels is toxic if one of them says so. Repeated rows are scored alike. Without labelled texts of both kinds every text scores
-0. Extra columns are kept.
+0; a table without documents gives an empty one. Extra columns are kept.
 """
 
 from __future__ import annotations

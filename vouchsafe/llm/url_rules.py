@@ -9,7 +9,7 @@ index: each stands under its rarest item, and a url looks up its own items.
 
 DataFrame functions and Spark's own FP-growth only. Null urls and urls without ``://`` have an empty
 host and path and no tokens, so they are allowed. Repeated rows get equal verdicts. Without labelled
-urls there are no mined rules. Extra columns are ignored.
+urls there are no mined rules; without pages the result is empty. Extra columns are ignored.
 """
 
 from __future__ import annotations

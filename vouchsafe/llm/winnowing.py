@@ -10,8 +10,8 @@ stay are joined with the benchmark's on the hash and extended word by word in bo
 spans whose words really agree over the whole window count, so hashes decide nothing.
 
 Null and empty texts have no words. Repeated documents get equal rows. Repeated items count once per
-item id; an item without id counts as the empty string. Without benchmark items nothing is hit. Extra columns are
-ignored.
+item id; an item without id counts as the empty string. Without benchmark items nothing is hit, without
+documents the result is empty. Extra columns are ignored.
 """
 
 from __future__ import annotations
