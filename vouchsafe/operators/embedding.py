@@ -52,6 +52,16 @@ def embedding_report(embedded: DataFrame, embedder: Embedder) -> DataFrame:
     )
 
 
+def by_repetition(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and the rest, if there are any. A null key is a key."""
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.where("_n > 1").select("_key")
+    if repeated.isEmpty():
+        return df, None
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(repeated, same, "left_anti"), df.join(repeated, same, "left_semi")
+
+
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows ``(key, token, tf)``; ``key`` identifies a text."""
     return (
