@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLAKE2B, SHA256 = "blake2b", "sha256"
-_ROWS_PER_BLOCK = 1024
+_ROWS_PER_BLOCK, _BYTES_PER_BLOCK = 1024, 1 << 20
 _KNOWN_TOKENS = 1 << 17
 
 
@@ -29,15 +30,30 @@ def token_slot(token: str, provider: str) -> tuple[int, int]:
     return slot, 1 - 2 * (digest[4] & 1)
 
 
-def _hash_block(lowered: pa.Array, dim: int, provider: str, known: dict) -> np.ndarray:
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of few rows and few bytes of text; a longer text is alone."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(texts):
+        reach = ends[start] - sizes[start] + _BYTES_PER_BLOCK
+        end = min(max(int(np.searchsorted(ends, reach, "right")), start + 1), start + _ROWS_PER_BLOCK)
+        yield start, end
+        start = end
+
+
+def split_tokens(lowered: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The tokens of lower-cased texts and the row of each; empty strings may be among them."""
+    split = pc.split_pattern_regex(pc.fill_null(lowered, ""), "[^a-z0-9]+")
+    row_of = np.repeat(np.arange(len(split)), np.asarray(pc.list_value_length(split)))
+    return row_of, pc.dictionary_encode(split.flatten())
+
+
+def hash_block(lowered: pa.Array, dim: int, provider: str, known: dict) -> np.ndarray:
     """Unit vectors of a block of lower-cased texts; texts without tokens stay zero.
 
     ``known`` keeps slots between blocks, as most tokens come again.
     """
-    split = pc.split_pattern_regex(pc.fill_null(lowered, ""), "[^a-z0-9]+")
-    words = split.flatten()
-    row_of = np.repeat(np.arange(len(split)), np.asarray(pc.list_value_length(split)))
-    coded = pc.dictionary_encode(words)
+    row_of, coded = split_tokens(lowered)
     if len(known) > _KNOWN_TOKENS:
         known.clear()
     slots = []
@@ -49,9 +65,9 @@ def _hash_block(lowered: pa.Array, dim: int, provider: str, known: dict) -> np.n
     table = np.array(slots, dtype=np.int64).reshape(-1, 2)
     codes = np.asarray(coded.indices)
     index, sign = table[codes, 0] % dim, table[codes, 1]
-    sums = np.bincount(row_of * dim + index, weights=sign, minlength=len(split) * dim)
+    sums = np.bincount(row_of * dim + index, weights=sign, minlength=len(lowered) * dim)
     damped = np.sign(sums) * np.log1p(np.abs(sums))
-    vectors = damped.reshape(len(split), dim)
+    vectors = damped.reshape(len(lowered), dim)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
@@ -62,21 +78,19 @@ def hash_vector(text: Column, dim: int, provider: str = BLAKE2B) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def embed(lowered: pa.Array) -> pa.Array:
-        blocks = [
-            _hash_block(lowered.slice(start, _ROWS_PER_BLOCK), dim, provider, known).ravel()
-            for start in range(0, len(lowered), _ROWS_PER_BLOCK)
-        ]
-        flat = np.concatenate(blocks) if blocks else np.empty(0)
-        offsets = np.arange(0, len(flat) + 1, dim, dtype=np.int32)
+        vectors = np.empty((len(lowered), dim))
+        for start, end in blocks(lowered):
+            vectors[start:end] = hash_block(lowered.slice(start, end - start), dim, provider, known)
+        offsets = np.arange(0, vectors.size + 1, dim, dtype=np.int32)
         mask = pc.is_null(lowered)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()), mask=mask)
 
     return embed(F.lower(text))
 
 
 def vector_of_text(text: str, dim: int, provider: str = BLAKE2B) -> list[float]:
     """The vector of one search query, made on the driver."""
-    return _hash_block(pa.array([text.lower()]), dim, provider, {})[0].tolist()
+    return hash_block(pa.array([text.lower()]), dim, provider, {})[0].tolist()
 
 
 def matrix(vectors: pa.Array, dim: int) -> np.ndarray:

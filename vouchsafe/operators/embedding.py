@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchsafe.functions.text import is_blank, tokens
-from vouchsafe.functions.vectors import BLAKE2B, hash_vector
+from vouchsafe.functions.vectors import BLAKE2B, SHA256, blocks, hash_block, hash_vector
 
 
 class Embedder(Protocol):
@@ -73,18 +76,47 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _exploded_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows ``(key, token, tf)``, for texts in several rows."""
+    return (
+        df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+        .groupBy(key, "token")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """The same embedding as rows ``(key, idx, weight)``, hashed with SHA-256 inside the JVM.
+    """The same embedding as rows ``(key, idx, weight)``, hashed with SHA-256.
 
-    ``key`` identifies a text. The texts are placed by key once, which usually moves
-    less than the sums of their tokens would; counting and scaling then stay in place.
+    ``key`` identifies a text, those of a repeated key are one. A text in one row is counted and scaled where it is;
+    only texts in several rows are shuffled, as the sums of their tokens.
     """
+    single, repeated = by_repetition(df.select(key, text), key)
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, idx bigint, weight double"
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            keys, lowered = batch.columns
+            for start, end in blocks(lowered):
+                vectors = hash_block(lowered.slice(start, end - start), dim, SHA256, known)
+                row, index = np.nonzero(vectors)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(row + start)), pa.array(index), pa.array(vectors[row, index])],
+                    [key, "idx", "weight"],
+                )
+
+    out = single.select(key, F.lower(F.col(text)).alias("_lowered")).mapInArrow(weigh, schema)
+    return out if repeated is None else out.unionByName(_sparse_of_repeated(repeated, key, text, dim))
+
+
+def _sparse_of_repeated(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     digest = F.sha2(F.col("token"), 256)
     slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     even = F.instr(F.lit("02468ace"), F.substring(digest, 10, 1)) > 0
     # a token is hashed once per text, however often it stands there
     sums = (
-        token_counts(df, key, text)
+        _exploded_counts(df, key, text)
         .select(
             key, (slot % dim).alias("idx"), F.when(even, F.col("tf")).otherwise(-F.col("tf")).alias("s")
         )
