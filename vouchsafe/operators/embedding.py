@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchsafe.functions.text import is_blank, tokens
-from vouchsafe.functions.vectors import BLAKE2B, SHA256, blocks, hash_block, hash_vector
+from vouchsafe.functions.vectors import BLAKE2B, SHA256, blocks, hash_block, hash_vector, split_tokens
 
 
 class Embedder(Protocol):
@@ -65,17 +65,6 @@ def by_repetition(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]
     return df.join(repeated, same, "left_anti"), df.join(repeated, same, "left_semi")
 
 
-def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows ``(key, token, tf)``; ``key`` identifies a text."""
-    return (
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(tokens(F.col(text))).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
 def _exploded_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows ``(key, token, tf)``, for texts in several rows."""
     return (
@@ -85,6 +74,39 @@ def _exploded_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def token_totals(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows ``(token, occurrences, documents)``; ``key`` identifies a text, those of a repeated key are one.
+
+    A block of texts is counted where it is, so what is grouped are sums by token, not the tokens of each text.
+    Texts without a key occur, but are no documents.
+    """
+    single, repeated = by_repetition(df, key)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lowered, has_key = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            for start, end in blocks(lowered):
+                row_of, coded = split_tokens(lowered.slice(start, end - start))
+                codes, distinct = np.asarray(coded.indices), len(coded.dictionary)
+                row, code = np.divmod(np.unique(row_of * distinct + codes), distinct)
+                occurrences = np.bincount(codes, minlength=distinct)
+                documents = np.bincount(code[has_key[start:end][row]], minlength=distinct)
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary, pa.array(occurrences), pa.array(documents)], ["token", *totals]
+                )
+
+    totals = ["occurrences", "documents"]
+    schema = "token string, occurrences bigint, documents bigint"
+    lowered = single.select(F.lower(F.col(text)), F.col(key).isNotNull())
+    counts = lowered.mapInArrow(count, schema).where("token <> ''")
+    if repeated is not None:
+        more = _exploded_counts(repeated, key, text)
+        counts = counts.unionByName(
+            more.groupBy("token").agg(F.sum("tf").alias(totals[0]), F.count(key).alias(totals[1]))
+        )
+    return counts.groupBy("token").agg(*(F.sum(c).alias(c) for c in totals))
+
+
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """The same embedding as rows ``(key, idx, weight)``, hashed with SHA-256.
 
