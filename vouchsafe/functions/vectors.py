@@ -73,7 +73,10 @@ def hash_block(lowered: pa.Array, dim: int, provider: str, known: dict) -> np.nd
 
 
 def hash_vector(text: Column, dim: int, provider: str = BLAKE2B) -> Column:
-    """Dense hashed vector of a whole text, null for a null text. Needs no shuffle."""
+    """Dense hashed vector of a whole text, null for a null text. Needs no shuffle.
+
+    It counts as nondeterministic, or a condition on the vector would have every text hashed twice, in two workers.
+    """
     known: dict = {}
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -85,7 +88,7 @@ def hash_vector(text: Column, dim: int, provider: str = BLAKE2B) -> Column:
         mask = pc.is_null(lowered)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()), mask=mask)
 
-    return embed(F.lower(text))
+    return embed.asNondeterministic()(F.lower(text))
 
 
 def vector_of_text(text: str, dim: int, provider: str = BLAKE2B) -> list[float]:
