@@ -48,6 +48,30 @@ def test_encoder_with_a_full_table(monkeypatch):
     assert not own.table and not own.older
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_marks():
+    own, seen = tokens.Encoder(tokens.vocabulary_path()), []
+
+    class Watched:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            seen.append(text)
+            return self.library.encode(text, **options)
+
+    own.library, own.words = Watched(own.library), Watched(own.words)
+    text = "unheard UNHEARD!! Unheard?! unheard... [unheard Unheard, unheard\n\x0bunheard;"
+    assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == library_ids(text)
+    assert " ".join(seen).lower().count("unheard") == 2  # the word, and the chunk that starts with a mark
+    assert own.encode([text.encode()] * 2) == [np.array(library_ids(text), "<u4").tobytes()] * 2
+    assert " ".join(seen).lower().count("unheard") == 2
+    assert own.encode([]) == [] and own.encode([b"", b" \n"]) == [b"", b""]
+
+
 @settings(max_examples=200, deadline=None)
 @given(texts, st.integers(1, 40), st.integers(1, 12))
 def test_spliced_chunks_give_the_whole_texts_ids(text, chunk, overlap):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchsafe.llm.common import settle, small_batches, texts_of
-from vouchsafe.llm.tokens import task_encoder, vocabulary_path
+from vouchsafe.llm.tokens import TEXT_BYTES, task_encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -66,7 +66,7 @@ def pieces(
     def cut_with(encode, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64).tolist()
-        for batch in small_batches(batches, "_text"):
+        for batch in small_batches(batches, "_text", TEXT_BYTES):
             data, offsets = texts_of(batch.column(1))
             raw = data.tobytes()
             at = offsets.tolist()
