@@ -9,8 +9,9 @@ from test_llm_tokens import cut
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from vouchsafe.llm import toxicity, weak_rules
+from vouchsafe.llm import probminhash, toxicity, weak_rules
 from vouchsafe.llm.common import crc32_of
+from vouchsafe.session import ARROW_BYTES, ARROW_BYTES_KEY, prepare
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,40 @@ def test_stages_take_awkward_documents(spark, rows):
         got = got.withColumn("toxicity", F.lit("x")).withColumn("_bad", F.lit(1)).cache()
         assert got.count() <= len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, got, SF).count() >= got.count()
+
+
+def test_near_duplicates_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """Few long texts would fit one Arrow batch of Spark's 64 MB, which takes memory outside the heap."""
+    sizes, cut_small = tmp_path / "sizes", probminhash.small_batches
+
+    def noted(batches, text):
+        def seen():
+            for batch in batches:
+                with open(sizes, "a") as file:
+                    file.write(f"{batch.nbytes}\n")
+                yield batch
+
+        return cut_small(seen(), text)
+
+    monkeypatch.setattr(probminhash, "small_batches", noted)
+    path = str(tmp_path / "documents")
+    text = F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" ")), 6000)
+    spark.range(0, 500, 1, 1).select(
+        F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"),
+        F.lit("web").alias("source"), F.length(text).alias("n_chars"),
+    ).write.parquet(path)
+    spark.conf.unset(ARROW_BYTES_KEY)
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, spark.read.parquet(path), SF)
+    assert got.count() == 500
+    bytes_of = [int(x) for x in sizes.read_text().split()]
+    assert sum(bytes_of) > 16 << 20
+    assert max(bytes_of) < 1.25 * ARROW_BYTES
+
+
+def test_a_limit_of_arrow_batches_that_is_set_stays(spark):
+    spark.conf.set(ARROW_BYTES_KEY, "1048576")
+    try:
+        assert prepare(spark).conf.get(ARROW_BYTES_KEY) == "1048576"
+    finally:
+        spark.conf.unset(ARROW_BYTES_KEY)
+    assert int(prepare(spark).conf.get(ARROW_BYTES_KEY)) == ARROW_BYTES
